@@ -92,10 +92,10 @@ def crop_group(spark, sf):
 
 @query("dedupe_references", """with recursive r as (select vec_id, label, embedding::double[] as e, row_number() over (partition by label order by case when vec_id % 2 = 0 then 0 else 1 end, vec_id) as k from embeddings),
  g as (select label, k, [e] as kept, [vec_id] as ids from r where k = 1
-  union all select r.label, r.k, case when list_max(list_transform(g.kept, lambda x: list_inner_product(x, r.e))) > 0.55 then g.kept else list_append(g.kept, r.e) end,
-   case when list_max(list_transform(g.kept, lambda x: list_inner_product(x, r.e))) > 0.55 then g.ids else list_append(g.ids, r.vec_id) end from g join r on r.label = g.label and r.k = g.k + 1)
+  union all select r.label, r.k, case when list_max(list_transform(g.kept, lambda x: list_inner_product(x, r.e))) > 0.3 then g.kept else list_append(g.kept, r.e) end,
+   case when list_max(list_transform(g.kept, lambda x: list_inner_product(x, r.e))) > 0.3 then g.ids else list_append(g.ids, r.vec_id) end from g join r on r.label = g.label and r.k = g.k + 1)
  select unnest(ids) as ref_id, label as owner from (select label, ids from g qualify row_number() over (partition by label order by k desc) = 1)""")
 def dedupe_references(spark, sf):
     e = fx.table(spark, sf, "embeddings")
     src = F.concat(F.lit("img.webp#"), F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 2 == 1, "r").otherwise(""))
-    return op.dedupe_references(e.select(F.col("vec_id").alias("ref_id"), F.col("label").alias("owner"), src.alias("source"), "embedding"), 0.55).select("ref_id", "owner")
+    return op.dedupe_references(e.select(F.col("vec_id").alias("ref_id"), F.col("label").alias("owner"), src.alias("source"), "embedding"), 0.3).select("ref_id", "owner")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaframe.functions import geometry as g
-from mediaframe.plans.sequential import Processor, sequential
+from mediaframe.plans.sequential import Processor, greedy_pairs, sequential
 from mediaframe.plans.tiles import tiled_self_join
 
 # fixed values
@@ -155,22 +155,7 @@ def iou_match(dets: DataFrame, tracks: DataFrame, w: float, h: float, min_iou: f
     cand = dets.join(t, (F.col("frame_id") == F.col("_f")) & g.intersects(g.box(), g.box("t_"))).withColumn("iou", overlap).filter(
         F.col("iou") >= min_iou).select("frame_id", "det", "track_id", (-F.col("iou")).alias("rank"))
 
-    class Greedy(Processor):
-        def start(self, key):
-            self.key, self.dets, self.tracks = key[0], set(), set()
-
-        def feed(self, cols):
-            got_d, got_t = [], []
-            for d, tr in zip(cols["det"], cols["track_id"]):
-                if d in self.dets or tr in self.tracks:
-                    continue
-                self.dets.add(d)
-                self.tracks.add(tr)
-                got_d.append(d)
-                got_t.append(tr)
-            return {"frame_id": [self.key] * len(got_d), "det": got_d, "track_id": got_t} if got_d else None
-
-    won = sequential(cand, ["frame_id"], ["rank", "det", "track_id"], "frame_id bigint, det bigint, track_id bigint", Greedy)
+    won = greedy_pairs(cand, ["frame_id"], ["rank", "det", "track_id"], "det", "track_id")
     cell = lambda c, size: F.least(F.lit(7), F.greatest(F.lit(0), F.floor(c / size * 8))).cast("bigint")
     pseudo = PSEUDO_ID_BASE + cell(g.centre_y(g.box()), h) * 8 + cell(g.centre_x(g.box()), w)
     return dets.join(won, ["frame_id", "det"], "left").withColumn("track_id", F.coalesce(F.col("track_id"), pseudo))

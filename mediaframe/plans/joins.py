@@ -13,7 +13,7 @@ def bucket_of(value: Column, width) -> Column:
 
 
 def range_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, width,
-               how: str = "inner", closed_end: bool = False) -> DataFrame:
+               how: str = "inner", closed_end: bool = False, open_start: bool = False) -> DataFrame:
     """Points inside ``[start, end)`` of the same key. Spans are copied into every bucket they touch, so
     the join hashes on (key, bucket) and one busy key spreads over its buckets; the exact bounds are part
     of the join condition. ``how`` may be inner, left, left_semi or left_anti (seen from the points)."""
@@ -27,7 +27,7 @@ def range_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, star
                                                                          bucket_of(F.col(end), width)))),
     )
     upper = F.col(at) <= F.col(end) if closed_end else F.col(at) < F.col(end)
-    cond = (F.col("_bucket") == F.col("_span_bucket")) & (F.col(at) >= F.col(start)) & upper
+    cond = (F.col("_bucket") == F.col("_span_bucket")) & (F.col(at) > F.col(start) if open_start else F.col(at) >= F.col(start)) & upper
     for k in by:
         cond = cond & (F.col(k) == F.col(f"_k_{k}"))
     out = p.join(s, cond, how)

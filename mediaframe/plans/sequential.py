@@ -73,3 +73,32 @@ def sequential(df: DataFrame, by: list[str], order: list[str | Column], schema:
                 yield frame([tail])
 
     return sorted_df.mapInPandas(run, schema)
+
+
+class _Greedy(Processor):
+    """First come, first served: remembers used ids only."""
+
+    def __init__(self, by: list[str], left: str, right: str):
+        self.by, self.left, self.right = by, left, right
+
+    def start(self, key):
+        self.key, self.used_left, self.used_right = key, set(), set()
+
+    def feed(self, cols):
+        ls, rs = [], []
+        for a, b in zip(cols[self.left], cols[self.right]):
+            if a not in self.used_left and b not in self.used_right:
+                self.used_left.add(a)
+                self.used_right.add(b)
+                ls.append(a)
+                rs.append(b)
+        if not ls:
+            return None
+        return {**{k: [v] * len(ls) for k, v in zip(self.by, self.key)}, self.left: ls, self.right: rs}
+
+
+def greedy_pairs(candidates: DataFrame, by: list[str], order: list[str], left: str, right: str) -> DataFrame:
+    """One-to-one pairs taken greedily from candidate pairs in ``order``; ids are bigint."""
+    schema = ", ".join(f"{c} bigint" for c in [*by, left, right])
+    cols = list(dict.fromkeys([*by, *order, left, right]))
+    return sequential(candidates.select(*cols), by, order, schema, lambda: _Greedy(by, left, right))
