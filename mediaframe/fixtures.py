@@ -103,32 +103,52 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- timeline
 
-CLIPS_SQL = """select o_custkey as project_id, o_orderkey as clip_id, o_custkey % 7 as asset_id,
+CLIPS_SQL = """select *, (project_id + track_index) % 5 = 0 as track_muted, (project_id + track_index) % 7 = 0 as locked from (
+  select o_custkey // 20 as project_id, o_orderkey as clip_id, o_custkey % 7 as asset_id,
     case o_orderstatus when 'O' then 'video' when 'F' then 'audio' else 'fx' end as kind,
-    (case o_orderstatus when 'O' then 0 when 'F' then 5 else 10 end) + cast(substr(o_orderpriority, 1, 1) as bigint) - 1 as track_index,
-    (40 * (epoch_us(o_orderdate) // 86400000000)) as start_ms,
-    cast(floor(o_totalprice / 50) as bigint) + 100 as dur_ms,
+    (case o_orderstatus when 'O' then 0 when 'F' then 2 else 4 end) + (case when o_orderpriority >= '3' then 1 else 0 end)::bigint as track_index,
+    40 * (epoch_us(o_orderdate) // 86400000000) as start_ms, cast(floor(o_totalprice / 50) as bigint) + 100 as dur_ms,
     (o_orderkey % 50) * 100 as in_ms, (o_orderkey % 50) * 100 + cast(floor(o_totalprice / 50) as bigint) + 100 as out_ms,
-    case when o_orderkey % 3 = 0 then null else o_custkey * 10 + (epoch_us(o_orderdate) // 86400000000) % 3 end as link_id,
-    o_orderkey % 11 = 0 as muted
-  from orders"""
+    case when o_orderkey % 3 <> 0 then o_custkey * 10 + (epoch_us(o_orderdate) // 86400000000) % 3 end as link_id, o_orderkey % 11 = 0 as muted
+  from orders)"""
 
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:
-    """One project per customer; the order status picks the track kind, the priority the track."""
+    """Twenty customers share a project; the order status picks the track kind, the priority the track."""
     o = table(spark, sf, "orders")
     day = F.floor(micros("o_orderdate") / 86_400_000_000).cast("bigint")
-    base = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", 5).otherwise(10)
+    base = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", 2).otherwise(4)
     dur = F.floor(F.col("o_totalprice") / 50).cast("bigint") + 100
     start_in = (F.col("o_orderkey") % 50) * 100
-    return o.select(
-        F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("clip_id"),
+    c = o.select(
+        F.floor(F.col("o_custkey") / 20).alias("project_id"), F.col("o_orderkey").alias("clip_id"),
         (F.col("o_custkey") % 7).alias("asset_id"),
         F.when(F.col("o_orderstatus") == "O", "video").when(F.col("o_orderstatus") == "F", "audio").otherwise("fx").alias("kind"),
-        (base + F.substring("o_orderpriority", 1, 1).cast("bigint") - 1).alias("track_index"),
+        (base + F.when(F.col("o_orderpriority") >= "3", 1).otherwise(0)).cast("bigint").alias("track_index"),
         (day * 40).alias("start_ms"), dur.alias("dur_ms"), start_in.alias("in_ms"), (start_in + dur).alias("out_ms"),
         F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") * 10 + day % 3).alias("link_id"),
         (F.col("o_orderkey") % 11 == 0).alias("muted"))
+    place = F.col("project_id") + F.col("track_index")
+    return c.withColumn("track_muted", place % 5 == 0).withColumn("locked", place % 7 == 0)
+
+
+WIDE_SQL = f"""select *, case clip_id % 4 when 1 then 0.5 when 2 then 2.0 else 1.0 end::double as factor, case when clip_id % 5 = 0 then dur_ms // 3 end as freeze_at,
+  case when clip_id % 5 = 0 then 400 end::bigint as freeze_hold, clip_id % 6 = 0 as reversed, case when clip_id % 7 = 0 then 300 end as fade_in_ms, case when clip_id % 8 = 0 then 500 end as fade_out_ms,
+  case when kind = 'fx' then case clip_id % 4 when 0 then 'cameraSnap' when 1 then 'shake' when 2 then 'zoomPunch' else 'fadeToBlack' end end as effect, (clip_id % 10) / 8.0::double as intensity,
+  case when clip_id % 2 = 0 then case clip_id % 3 when 0 then 'dissolve' when 1 then 'wipeLeft' else 'sparkle' end end as transition_type, clip_id % 4000 as transition_ms from ({CLIPS_SQL})"""
+
+
+def wide_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips with speed, freeze, fades, effect and transition columns."""
+    i = F.col("clip_id")
+    fx_kind = F.when(i % 4 == 0, "cameraSnap").when(i % 4 == 1, "shake").when(i % 4 == 2, "zoomPunch").otherwise("fadeToBlack")
+    return clips(spark, sf).withColumns({
+        "factor": F.when(i % 4 == 1, 0.5).when(i % 4 == 2, 2.0).otherwise(1.0),
+        "freeze_at": F.when(i % 5 == 0, F.floor(F.col("dur_ms") / 3)), "freeze_hold": F.when(i % 5 == 0, F.lit(400).cast("bigint")),
+        "reversed": i % 6 == 0, "fade_in_ms": F.when(i % 7 == 0, 300), "fade_out_ms": F.when(i % 8 == 0, 500),
+        "effect": F.when(F.col("kind") == "fx", fx_kind), "intensity": (i % 10) / 8.0,
+        "transition_type": F.when(i % 2 == 0, F.when(i % 3 == 0, "dissolve").when(i % 3 == 1, "wipeLeft").otherwise("sparkle")),
+        "transition_ms": i % 4000})
 
 
 SHOTS_SQL = """select o_custkey as asset_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as shot,

@@ -127,7 +127,7 @@ def effect_strength(kind: Column, intensity: Column, t: Column, dur: Column) ->
     return F.when(kind.isin(*ENVELOPED), k * envelope(t, dur)).otherwise(k)
 
 
-def effect_amount(kind: Column, s: Column, t: Column, dur: Column, amplitude: Column = F.lit(0.01)) -> Column:
+def effect_amount(kind: Column, s: Column, t: Column, dur: Column, amplitude: Column | float = 0.01) -> Column:
     """The main parameter of an effect at effect-local ``t`` ms: fade amount, flash alpha, blur radius in
     pixels, zoom scale or vignette strength."""
     u = F.when(dur > 0, unit_clamp(t / dur)).otherwise(1.0)
