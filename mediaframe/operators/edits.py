@@ -15,7 +15,7 @@ from mediaframe.functions.text import new_id
 from mediaframe.operators import timeline as tl
 from mediaframe.operators.clock import evaluate_keyframes
 from mediaframe.plans import scan
-from mediaframe.plans.joins import bucket_of
+from mediaframe.plans.joins import bucket_of, range_join
 
 MIN_CLIP_MS = 40
 SPLIT_MARGIN_MS = 20
@@ -249,11 +249,11 @@ def reconcile_transitions(after: DataFrame, before: DataFrame, frame_ms: float,
 # --------------------------------------------------------------------------- keyframes
 
 
-def set_keyframe(keys: DataFrame, edits: DataFrame, tolerance=KEY_TOLERANCE_MS, remove: bool = False) -> DataFrame:
+def set_keyframe(keys: DataFrame, edits: DataFrame, tolerance=KEY_TOLERANCE_MS, remove: bool = False, width=86_400_000_000) -> DataFrame:
     """Insert or replace (or with ``remove`` only drop) the keyframe of a clip at a time. edits: the columns of
     keys (clip_id, time_us, value, easing); keyframes within the tolerance of an edit go."""
-    e = edits.select("clip_id", F.col("time_us").alias("_at"))
-    gone = keys.join(e, "clip_id").filter(F.abs(F.col("time_us") - F.col("_at")) <= tolerance).select("clip_id", "time_us").distinct()
+    e = edits.select("clip_id", (F.col("time_us") - tolerance).alias("_lo"), (F.col("time_us") + tolerance).alias("_hi"))
+    gone = range_join(keys.select("clip_id", "time_us"), e, ["clip_id"], "time_us", "_lo", "_hi", width, closed_end=True).select("clip_id", "time_us").distinct()
     kept = keys.join(gone, ["clip_id", "time_us"], "left_anti")
     return kept if remove else kept.unionByName(edits.select(*keys.columns))
 
