@@ -10,6 +10,7 @@ from mediaframe.operators import assembly as op
 from mediaframe.operators import shots as shot_op
 from mediaframe.plans import scan
 from mediaframe.plans.joins import bucket_of
+from mediaframe.session import cut_lineage
 
 
 def fit_sql(src):
@@ -62,7 +63,7 @@ def _ranges(spark, sf):
     dur = F.col("out_ms") - F.col("in_ms")
     r = r.withColumn("value", op.shot_value(F.col("shot") % 3, dur, F.col("shot") % 5 == 0)).withColumn("has_audio", F.col("asset_id") % 4 > 0)
     n = scan.ordered_scan(r, ["group_id"], [F.col("asset_id"), F.col("shot")], F.struct(F.col("asset_id"), bucket_of(F.col("shot"), 65536).alias("b")), pos=scan.number())
-    n = n.withColumn("pos", F.col("pos") - 1)
+    n = cut_lineage(n.withColumn("pos", F.col("pos") - 1))
     t = n.groupBy("group_id").agg(F.floor(F.sum(F.col("out_ms") - F.col("in_ms")) * 6 / 10).alias("target_ms"))
     beats = fx.beats(spark, sf).select("asset_id", F.floor(F.col("time_us") / 1000).alias("time_us")).distinct()
     return n, t, beats

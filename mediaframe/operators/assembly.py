@@ -10,6 +10,7 @@ from mediaframe.operators.clock import beats_in_spans, trim_window
 from mediaframe.operators.shots import BLOCK
 from mediaframe.plans import scan
 from mediaframe.plans.joins import bucket_of
+from mediaframe.session import cut_lineage
 
 MIN_CLIP_MS = 1500
 
@@ -46,7 +47,9 @@ def fit_durations(shots: DataFrame, targets: DataFrame, min_ms: int = MIN_CLIP_M
     ranked = scan.ordered_scan(s, by, [F.col("_late"), F.col("value").desc(), F.col("pos")],
                                F.struct(F.col("_late"), (-F.col("value")).alias("v"), bucket_of(F.col("pos"), BLOCK).alias("p")),
                                _floors=scan.running_sum(floor))
-    sums = shots.groupBy(*by).agg(F.sum("dur_ms").alias("_total")).join(targets, "group_id")
+    # one row per shot, read by every branch below: written once so the plan does not double per scan
+    ranked = cut_lineage(ranked)
+    sums = ranked.groupBy(*by).agg(F.sum("dur_ms").alias("_total")).join(targets, "group_id")
     r = ranked.join(sums, "group_id")
     over = F.col("_total") > F.col("target_ms")
     kept = r.filter(~over | (F.col("_floors") <= F.col("target_ms")) | (F.col("_late") == 0))
@@ -70,7 +73,7 @@ def assemble_timeline(ranges: DataFrame, targets: DataFrame, beats: DataFrame, w
     fitted = fit_durations(spans.select("group_id", "pos", "dur_ms", "value"), targets).select("group_id", "pos", "fitted_ms").filter(F.col("fitted_ms") > 0)
     placed = scan.ordered_scan(spans.join(fitted, ["group_id", "pos"]), ["group_id"], [F.col("pos")], bucket_of(F.col("pos"), BLOCK), start_ms=scan.prefix_sum(F.col("fitted_ms")))
     # a span id unique over groups
-    keyed = placed.withColumn("span_id", F.struct("group_id", "pos"))
+    keyed = cut_lineage(placed).withColumn("span_id", F.struct("group_id", "pos"))
     cut = trim_window(keyed.select("asset_id", "span_id", F.col("in_ms").alias("in_us"), F.col("out_ms").alias("out_us"), F.col("fitted_ms").alias("dur_us")), beats, width_ms)
     cut = cut.select("span_id", F.col("in_us").alias("clip_in"), F.col("out_us").alias("clip_out"), "on_beat")
     j = keyed.join(cut, "span_id")

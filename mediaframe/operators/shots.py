@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.plans import scan
 from mediaframe.plans.joins import bucket_of
+from mediaframe.session import cut_lineage
 
 BLOCK = 65_536  # frames per task in windows over dense frame numbers
 
@@ -25,7 +26,8 @@ def _runs(scores: DataFrame, threshold: float) -> DataFrame:
 
 def _numbered_scenes(scores: DataFrame, threshold: float) -> DataFrame:
     """Scenes with their number and the start of the next one; an asset without calm frames keeps one row."""
-    runs = _runs(scores, threshold)
+    # runs are read twice and are far fewer than frames
+    runs = cut_lineage(_runs(scores, threshold))
     calm = runs.filter(F.col("start_frame").isNotNull())
     placed = scan.ordered_scan(calm, ["asset_id"], [F.col("run")], bucket_of(F.col("run"), BLOCK),
                                pos=scan.number(), next_start=scan.lead(F.col("start_frame")))
