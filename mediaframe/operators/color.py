@@ -26,7 +26,7 @@ def effective_grade(clips: DataFrame, adjust: DataFrame) -> DataFrame:
     for n in names:
         lo, hi = RANGES[n]
         moved = F.least(F.greatest(F.coalesce(F.col(n), F.lit(0.0)) + F.col(f"_d_{n}"), F.lit(float(lo))), F.lit(float(hi)))
-        fresh[n] = F.coalesce(moved, F.col(n))
+        fresh[n] = F.when(F.col(f"_d_{n}").isNotNull(), moved).otherwise(F.col(n))
     if "hsl" in clips.columns and "hsl" in adjust.columns:
         part = lambda a, b, p: F.least(F.greatest(F.coalesce(a[p], F.lit(0.0)) + b[p], F.lit(-100.0)), F.lit(100.0)).alias(p)
         mixed = F.map_zip_with("hsl", "_d_hsl", lambda k, a, b: F.when(b.isNull(), a).otherwise(F.struct(part(a, b, "h"), part(a, b, "s"), part(a, b, "l"))))
