@@ -37,9 +37,16 @@ def sequential(df: DataFrame, by: list[str], order: list[str | Column], schema:
         proc = factory()
         current: tuple | None = None
 
+        def column(values) -> np.ndarray:
+            if not isinstance(values, list):
+                return np.asarray(values)
+            cells = np.empty(len(values), dtype=object)
+            for i, v in enumerate(values):
+                cells[i] = v
+            return cells
+
         def frame(parts: list[dict]) -> pd.DataFrame:
-            return pd.DataFrame({c: np.concatenate([np.asarray(p[c], dtype=object) if isinstance(p[c], list)
-                                                    else np.asarray(p[c]) for p in parts]) for c in out_names})
+            return pd.DataFrame({c: np.concatenate([column(p[c]) for p in parts]) for c in out_names})
 
         for pdf in batches:
             n = len(pdf)
