@@ -144,6 +144,15 @@ class Tracker:
     next_id: int = 1
     tracks: list[Track] = field(default_factory=list)
 
+    def dump(self) -> tuple:
+        """Plain values for a state store."""
+        return self.frame, self.next_id, [tuple(vars(t).values()) for t in self.tracks]
+
+    def load(self, saved: tuple) -> "Tracker":
+        self.frame, self.next_id = saved[:2]
+        self.tracks = [Track(*v) for v in saved[2]]
+        return self
+
     def _match(self, tracks: list[Track], dets: list, gate: float, weigh: bool) -> tuple[list, list, list]:
         if not tracks or not dets:
             return [], list(tracks), list(dets)
