@@ -22,7 +22,9 @@ def blockwise(df: DataFrame, by: list[str], index: str, size: int, before: int,
         block = int(pdf["_block"].iloc[0])
         return fn(pdf.sort_values(index, kind="stable").reset_index(drop=True), block * size, (block + 1) * size)
 
-    return halo(df, index, size, before, after).groupBy(*by, "_block").applyInPandas(run, schema)
+    # numeric work is CPU-bound: keep every shuffle partition instead of letting them merge by bytes
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return halo(df, index, size, before, after).repartition(parts, *by, "_block").groupBy(*by, "_block").applyInPandas(run, schema)
 
 
 def ema(df: DataFrame, by: list[str], index: str, values: list[str], alpha: float, size: int = 8192, backwards: bool = False) -> DataFrame:

@@ -29,7 +29,8 @@ class Processor:
 
 def sequential(df: DataFrame, by: list[str], order: list[str | Column], schema: str,
                factory: Callable[[], Processor]) -> DataFrame:
-    sorted_df = df.repartition(*by).sortWithinPartitions(*by, *order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_df = df.repartition(parts, *by).sortWithinPartitions(*by, *order)
     names = list(df.columns)
     out_names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
