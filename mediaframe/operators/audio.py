@@ -19,6 +19,7 @@ from mediaframe.plans.blocks import blockwise
 from mediaframe.plans.joins import bucket_of
 from mediaframe.plans.quantile import exact_quantile
 from mediaframe.plans.sequential import Processor, sequential
+from mediaframe.session import cut_lineage
 
 SILENT_LUFS = -70.0
 BEAT_MIN_PERIODICITY = 0.25
@@ -164,7 +165,8 @@ def tempo(env: DataFrame, fps: float, low: float = 60.0, high: float = 200.0, pr
     w = Window.partitionBy("asset_id", "_block").orderBy("frame")
     smooth = scan.halo(centred, "frame", BLOCK, 1, 1).withColumn(
         "x", F.coalesce(F.lag("x").over(w), F.lit(0.0)) * 0.25 + F.col("x") * 0.5 + F.coalesce(F.lead("x").over(w), F.lit(0.0)) * 0.25).filter("_own")
-    ac = autocorrelation(smooth.select("asset_id", "frame", "x"), "x", lag_max, up)
+    # a few hundred lags per asset, read twice below
+    ac = cut_lineage(autocorrelation(smooth.select("asset_id", "frame", "x"), "x", lag_max, up))
     zero = ac.filter(F.col("lag") == 0).select("asset_id", F.col("ac").alias("_zero"))
     top = stats.select("asset_id", F.least(F.lit(lag_max), (F.col("n") - 1) * up - 1).alias("_top"))
     a = ac.filter(F.col("lag") >= lag_min).join(zero, "asset_id").join(top, "asset_id").filter((F.col("lag") <= F.col("_top")) & (F.col("_top") > lag_min + 1))

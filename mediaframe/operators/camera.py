@@ -15,6 +15,7 @@ from mediaframe.operators.shots import BLOCK
 from mediaframe.plans import scan
 from mediaframe.plans.blocks import blockwise, ema
 from mediaframe.plans.joins import bucket_of
+from mediaframe.session import cut_lineage
 
 BY = ["asset_id"]
 
@@ -22,7 +23,8 @@ BY = ["asset_id"]
 def ema_zero_phase(df: DataFrame, values: list[str], alpha: float) -> DataFrame:
     """Forward then backward moving average: no lag."""
     a = min(max(float(alpha), 1e-3), 1.0)
-    return ema(ema(df, BY, "frame", values, a), BY, "frame", values, a, backwards=True)
+    forward = cut_lineage(ema(df, BY, "frame", values, a))
+    return ema(forward, BY, "frame", values, a, backwards=True)
 
 
 def savgol_weights(window: int) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.plans.scan import halo
 from mediaframe.plans.sequential import Processor, sequential
+from mediaframe.session import cut_lineage
 
 
 def blockwise(df: DataFrame, by: list[str], index: str, size: int, before: int, after: int,
@@ -55,7 +56,7 @@ def ema(df: DataFrame, by: list[str], index: str, values: list[str], alpha: floa
         return res
 
     # the index may carry the block's own rows only: an average needs no halo
-    loc = blockwise(data.select(*by, index, *values), by, index, size, 0, 0, local, schema)
+    loc = cut_lineage(blockwise(data.select(*by, index, *values), by, index, size, 0, 0, local, schema))
     ends = loc.groupBy(*by, "_b").agg(F.min("_k").alias("_d"), *[F.max_by(v, index).alias(v) for v in values])
     first = data.filter(F.col(index) == 0).select(*by, *[F.col(v).cast("double").alias(f"_f_{v}") for v in values])
     summary = ends.join(first, by)

@@ -116,7 +116,7 @@ def read_analysis(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def read_cube_luts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(lattice: lut_id, size, ir, ig, ib, r, g, b; errors: lut_id, error) of .cube files, red running fastest."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("lut_id"), F.split(F.regexp_replace("value", "﻿", ""), r"\r?\n").alias("_l"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("lut_id"), F.split(F.regexp_replace("value", "﻿", ""), r"\r?\n").alias("_l"))
     lines = text.select("lut_id", F.transform("_l", lambda s: F.trim(s)).alias("_l"))
     size = F.regexp_extract(F.try_element_at(F.filter("_l", lambda s: s.startswith("LUT_3D_SIZE")), F.lit(1)), r"LUT_3D_SIZE\s+(\d+)", 1).try_cast("int")
     num = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
