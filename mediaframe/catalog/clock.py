@@ -100,7 +100,7 @@ def sample_frames(spark, sf):
 SNAP = f"""c as ({fx.CLIPS_SQL}), t as (select project_id, clip_id, start_ms + dur_ms // 2 as t from c),
   g as (select project_id, start_ms as target, 2 as ord from c union all select project_id, start_ms + dur_ms, 3 from c union all select project_id, 0, 0 from c),
   d as (select project_id, target, min(ord) as ord from g group by 1, 2),
-  m as (select t.project_id, clip_id, t, target, row_number() over (partition by t.project_id, clip_id order by abs(target - t), ord) as rn from t join d on d.project_id = t.project_id and abs(target - t) < 400)"""
+  m as (select t.project_id, clip_id, t, target, row_number() over (partition by t.project_id, clip_id order by abs(target - t), ord, target) as rn from t join d on d.project_id = t.project_id and abs(target - t) < 400)"""
 
 
 @query("snap", f"with {SNAP} select t.project_id, t.clip_id, coalesce(m.target, t.t) as snapped_t, m.target is not null as snapped from t left join m on m.project_id = t.project_id and m.clip_id = t.clip_id and m.rn = 1")

@@ -110,3 +110,21 @@ def greedy_pairs(candidates: DataFrame, by: list[str], order: list[str], left: s
     schema = ", ".join(f"{c} bigint" for c in [*by, left, right])
     cols = list(dict.fromkeys([*by, *order, left, right]))
     return sequential(candidates.select(*cols), by, order, schema, lambda: _Greedy(by, left, right))
+
+
+class Gather(Processor):
+    """Hands a complete small group (a frame's candidates, a line-up) to ``fn(key, columns)``; many such groups
+    share one task and one Arrow batch."""
+
+    def __init__(self, fn: Callable[[tuple, dict[str, np.ndarray]], dict | None]):
+        self.fn = fn
+
+    def start(self, key):
+        self.key, self.parts = key, []
+
+    def feed(self, cols):
+        self.parts.append(cols)
+        return None
+
+    def finish(self):
+        return self.fn(self.key, {c: np.concatenate([p[c] for p in self.parts]) for c in self.parts[0]})
