@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SUMMED = ("number", "running_sum", "prefix_sum", "total")
+
+
 @dataclass(frozen=True)
 class Scan:
     kind: str
@@ -74,7 +77,7 @@ def ordered_scan(df: DataFrame, by: list[str], order: list[Column], chunk: Colum
     local, tail, head = {}, {}, {}
     for name, scan in scans.items():
         v = F.col(f"_v_{name}")
-        if scan.kind in ("number", "running_sum", "prefix_sum", "total"):
+        if scan.kind in SUMMED:
             local[name] = F.sum(v).over(upto)
             tail[name] = F.col(f"_l_{name}")
         elif scan.kind == "running_max":
@@ -100,7 +103,11 @@ def ordered_scan(df: DataFrame, by: list[str], order: list[Column], chunk: Colum
         F.lag(F.lit(1)).over(here).isNull().alias("_head"),
         F.lead(F.lit(1)).over(here).isNull().alias("_tail"),
     )
-    if head:
+    if all(scan.kind in SUMMED or scan.kind == "running_max" for scan in scans.values()):
+        # sums and maxima combine before the shuffle: no second sort of the detail rows
+        summary = base.groupBy(*by, "_chunk").agg(
+            *[(F.sum if scan.kind in SUMMED else F.max)(f"_v_{n}").alias(f"_s_{n}") for n, scan in scans.items()])
+    elif head:
         summary = (
             detail.filter("_head or _tail")
             .groupBy(*by, "_chunk")
