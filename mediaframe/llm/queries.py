@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import rules, secrets, simhash
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -20,3 +21,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, found by the combined automaton."""
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ledger row, with the verdict of the current policy."""
+    rows = rules.ledger(table(spark, sf_dir, "documents"))
+    base = rules.passes("base-1")
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows.select(*first, (~base).alias("base_failed"), (base & rules.passes()).alias("kept"), "failed", F.lit(rules.POLICY).alias("policy"))
