@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules, secrets, simhash
+from . import bpe, rules, secrets, simhash
 from .common import table
 
 QUERIES, ORACLES = {}, {}
 
 
+def vocabulary_path() -> str:
+    """The installed word-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -29,6 +36,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the word-level vocabulary."""
+    return bpe.digest(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 @query
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ledger row, with the verdict of the current policy."""
