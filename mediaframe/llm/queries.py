@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, rules, secrets, simhash
+from . import bpe, quality, rules, secrets, simhash
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -30,6 +30,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; labels of held-out documents are never read."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held)
+    scored = quality.score(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets, found by the combined automaton."""
