@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, rules, secrets, simhash
+from . import bpe, langid, quality, rules, secrets, simhash
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -58,3 +58,12 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = rules.passes("base-1")
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select(*first, (~base).alias("base_failed"), (base & rules.passes()).alias("kept"), "failed", F.lit(rules.POLICY).alias("policy"))
+
+
+@query
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; the held-out quarter is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = langid.predict(docs, docs.where(~held))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
