@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, rules, secrets, simhash
+from . import bpe, decontam, html, langid, quality, rules, secrets, simhash
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -23,6 +23,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
