@@ -18,14 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so later steps start from files that outlive
-    an executor. The cluster names the folder in ``spark.checkpoint.dir``; only a session without that
-    setting gets one inside its warehouse."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names in ``spark.checkpoint.dir``; only a
+    session without that setting gets one inside its warehouse."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so later steps start from files that outlive an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

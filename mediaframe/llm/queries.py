@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, langid, quality, rules, secrets, simhash
+from . import bpe, decontam, hosts, html, langid, pii, quality, rules, secrets, simhash
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -79,3 +79,15 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     found = langid.predict(docs, docs.where(~held))
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url's verdict by rule, or by its host's place in the link graph."""
+    return hosts.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data and disclosing terms."""
+    return pii.find(table(spark, sf_dir, "documents"))
