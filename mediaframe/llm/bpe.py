@@ -18,6 +18,7 @@ import json
 import os
 import unicodedata
 import uuid
+from collections import Counter
 
 import pyarrow as pa
 import regex
@@ -32,8 +33,8 @@ from .common import checkpointed, field, map_texts, slices, texts_of
 LEXICON_WORDS = 50_000
 #: Rarer words never enter it.
 LEAST_COUNT = 3
-#: Words that a task holds before it hands on its counts, and unseen words that it remembers.
-COUNT_WORDS = 200_000
+#: Words that a task holds before it hands on its counts, and words that it remembers while encoding.
+COUNT_WORDS = 400_000
 MEMO = 400_000
 UNRANKED = 1 << 30
 
@@ -46,6 +47,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def normal(text: str) -> str:
+    """Composed, and lower-cased letter by letter."""
+    text = unicodedata.normalize("NFC", text)
+    return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+
+
 class Vocabulary:
     """A tokenizer file of this kind: what is needed to split, merge and decode."""
 
@@ -89,9 +96,7 @@ class Vocabulary:
         marks = tuple(special)
 
         def plain(text: str) -> list[str]:
-            text = unicodedata.normalize("NFC", text)
-            text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-            return words(text)
+            return words(normal(text))
 
         def split(text: str) -> list:
             if not any(m in text for m in marks):
@@ -111,23 +116,36 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
     """(word, n) over all documents; each task adds up its own words before the shuffle."""
 
     def run(batches):
-        from collections import Counter
+        encoder = Encoder(vocabulary, None)
+        pieces, words = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            for piece, n in pieces.items():
+                for w in encoder.pattern(piece):
+                    words[w] += n
+            out = _counts(words)
+            pieces.clear()
+            words.clear()
+            return out
 
-        split, seen = vocabulary.splitter(), Counter()
         for batch in batches:
             for part in slices(batch, 0):
                 for text in texts_of(part, 0):
-                    seen.update(w for w in split(text) if w.__class__ is str) if text else None
-                if len(seen) > COUNT_WORDS:
-                    yield _counts(seen)
-                    seen = Counter()
-        yield _counts(seen)
+                    if not text:
+                        continue
+                    if encoder.odd(text):
+                        words.update(w for w in encoder.split(text) if w.__class__ is str)
+                    else:
+                        pieces.update(normal(text).split())
+                if len(pieces) + len(words) > COUNT_WORDS:
+                    yield counted()
+        yield counted()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n bigint")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counts(seen) -> pa.RecordBatch:
+def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
 
@@ -163,12 +181,18 @@ def ship(spark: SparkSession, block: bytes) -> str:
 
 
 class Encoder:
-    """A task's encoder: mapped lexicon first, exact merges for the rest, a bounded memo before both."""
+    """A task's encoder: mapped lexicon first, exact merges for the rest, bounded memos before both.
+
+    No word of the pattern holds white space, so a text is cut at white space first and only pieces that aren't
+    words already seen go through the pattern. Texts with special tokens, or with separators that only Python
+    takes for white space, are split by the pattern alone."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: transducer.Lexicon) -> None:
+    def __init__(self, vocabulary: Vocabulary, lexicon: transducer.Lexicon | None) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.split = vocabulary.splitter()
-        self.memo: dict = {}
+        self.pattern = regex.compile(vocabulary.pattern).findall
+        self.odd = regex.compile("[\x1c-\x1f]|" + "|".join(map(regex.escape, vocabulary.special))).search
+        self.words: dict = {}
 
     def word(self, word) -> tuple[int, str, str]:
         """(number of ids, ids, tokens), the last two joined by spaces."""
@@ -178,15 +202,26 @@ class Encoder:
         ids = self.lexicon.get(data)
         if ids is None:
             ids = self.vocabulary.merge(data)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        found = self.memo[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.vocabulary.tokens.__getitem__, ids)))
+        if len(self.words) >= MEMO:
+            self.words.clear()
+        found = self.words[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.vocabulary.tokens.__getitem__, ids)))
         return found
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids, decoded text) of a whole text."""
-        get, make = self.memo.get, self.word
-        rows = [get(w) or make(w) for w in self.split(text)]
+        get, make = self.words.get, self.word
+        if self.odd(text):
+            rows = [get(w) or make(w) for w in self.split(text)]
+        else:
+            rows, pattern = [], self.pattern
+            add = rows.append
+            for piece in normal(text).split():
+                found = get(piece)
+                if found is None:
+                    for w in pattern(piece):
+                        add(get(w) or make(w))
+                else:
+                    add(found)
         if not rows:
             return 0, "", ""
         sizes, ids, tokens = zip(*rows)
