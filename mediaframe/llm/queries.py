@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, hosts, html, langid, pii, quality, rules, secrets, simhash
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
-QUERIES, ORACLES = {}, {}
+QUERIES = {}
 
 
 def vocabulary_path() -> str:

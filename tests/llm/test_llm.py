@@ -518,3 +518,14 @@ def test_pipeline(spark, docs, texts):
         assert not [s for s in plain_private(r.text) if s[0] != "phone"]
     final = pipeline.run(spark, SF)
     assert {r.doc_id for r in final.collect()} == set(groups.values()) - hit
+
+
+# --- SQL ----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    import check
+
+    message, _, ok = check.compare(spark, check.connect(SF), name, queries.QUERIES[name], queries.ORACLES[name], SF)
+    assert ok, message
