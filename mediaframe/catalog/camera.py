@@ -122,11 +122,11 @@ def clamp_crops(spark, sf):
 
 
 def _shot_samples(spark, sf):
-    f = fx.frames(spark, sf).filter(F.col("frame") % 6 == 0)
+    f = fx.frames(spark, sf)
     v, seen = F.least("value", F.lit(200.0)), F.col("label") != "error"
     p, d = (v, F.lit(100.0), v + 150, F.lit(500.0)), (v + 700, F.lit(120.0), v + 850, F.lit(480.0))
     names = ("x1", "y1", "x2", "y2")
-    return f.select("asset_id", "frame", *[c.alias(f"p_{n}") for c, n in zip(p, names)], *[F.when(seen, c).alias(f"d_{n}") for c, n in zip(d, names)])
+    return f.select("asset_id", "frame", "label", *[c.alias(f"p_{n}") for c, n in zip(p, names)], *[F.when(seen, c).alias(f"d_{n}") for c, n in zip(d, names)])
 
 
 def _sizes(spark, sf):
@@ -135,14 +135,14 @@ def _sizes(spark, sf):
 
 @query("reframe_from_tracks")
 def reframe_from_tracks(spark, sf):
-    return crops.thin_keyframes(crops.reframe(_sizes(spark, sf), _shot_samples(spark, sf), W, H), 24.0, W, H)
+    return crops.crop_keyframes(crops.reframe(_sizes(spark, sf), _shot_samples(spark, sf), W, H), 24.0, W, H)
 
 
 @query("reframe_from_findings")
 def reframe_from_findings(spark, sf):
-    found = _shot_samples(spark, sf).filter(F.col("d_x1").isNotNull() & F.col("frame").between(12, 36))
+    found = _shot_samples(spark, sf).filter(F.col("d_x1").isNotNull() & (F.col("label") == "signup"))
     have = found.select("asset_id").distinct()
-    return crops.thin_keyframes(crops.reframe(_sizes(spark, sf).join(have, "asset_id", "left_semi"), found, W, H, relax=(6, 12)), 24.0, W, H)
+    return crops.crop_keyframes(crops.reframe(_sizes(spark, sf).join(have, "asset_id", "left_semi"), found, W, H, relax=(6, 12)), 24.0, W, H)
 
 
 def _track_input(spark, sf):
@@ -169,7 +169,7 @@ def follow_pairs(spark, sf):
     rows = s.select(F.col("asset_id").alias("pair_id"), "frame", F.explode(F.array(
         F.struct(F.lit(1).alias("det"), *[F.col(f"p_{n}").alias(n) for n in ("x1", "y1", "x2", "y2")], look(0).alias("emb")),
         F.struct(F.lit(2).alias("det"), *[F.col(f"d_{n}").alias(n) for n in ("x1", "y1", "x2", "y2")], look(1).alias("emb")))).alias("s")).select("pair_id", "frame", F.when(F.col("s.x1").isNotNull(), F.col("s.det")).alias("det"), "s.x1", "s.y1", "s.x2", "s.y2", "s.emb", F.lit(False).alias("veto"))
-    a = s.filter((F.col("frame") % 24 == 12) & F.col("d_x1").isNotNull()).withColumnRenamed("asset_id", "pair_id").withColumn("p_emb", look(0)).withColumn("d_emb", look(1))
+    a = s.filter((F.col("label") == "signup") & F.col("d_x1").isNotNull()).withColumnRenamed("asset_id", "pair_id").withColumn("p_emb", look(0)).withColumn("d_emb", look(1))
     return tracking.follow_pairs(rows.join(a.select("pair_id").distinct(), "pair_id", "left_semi"), a, W, H, hold=2)
 
 
