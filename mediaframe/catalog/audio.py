@@ -61,7 +61,7 @@ TEMPO = f"""with f as ({fx.FRAMES_SQL}), st as (select asset_id, avg(score) as m
 """
 
 
-@query("tempo", TEMPO + "select asset_id, round(480.0 / (lag + case when y0 is not null and y2 is not null and abs(y0 - 2 * sc + y2) > 1e-12 then 0.5 * (y0 - y2) / (y0 - 2 * sc + y2) else 0 end), 5)::double as bpm, round(greatest(0, r), 6)::double as periodicity from w where rk = 1")
+@query("tempo", TEMPO + "select e.asset_id, bpm, coalesce(periodicity, 0)::double as periodicity from (select distinct asset_id from (" + fx.FRAMES_SQL + ")) e left join (select asset_id, round(480.0 / (lag + case when y0 is not null and y2 is not null and abs(y0 - 2 * sc + y2) > 1e-12 then 0.5 * (y0 - y2) / (y0 - 2 * sc + y2) else 0 end), 5)::double as bpm, round(greatest(0, r), 6)::double as periodicity from w where rk = 1) t on t.asset_id = e.asset_id")
 def tempo(spark, sf):
     env = fx.frames(spark, sf).select("asset_id", "frame", F.col("score").alias("env"))
     return op.tempo(env, 2.0).select("asset_id", F.round("bpm", 5).alias("bpm"), F.round("periodicity", 6).alias("periodicity"))

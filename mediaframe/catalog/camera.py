@@ -56,9 +56,9 @@ def kf_from_crop(spark, sf):
     return _path(spark, sf).select("asset_id", "frame", *[k[n].alias(n) for n in ("time_ms", "zoom", "tx", "ty")])
 
 
-@query("static_track", f"with {PATH} select asset_id, unnest([frame, frame + 48]) as frame, frame as shot, round_even(1280 / (x2 - x1), 4) as zoom, round_even(x1, 2) as x1 from c where label = 'signup'")
+@query("static_track", f"with {PATH} select asset_id, unnest([frame, frame + 48]) as frame, frame as shot, round_even(1280 / (x2 - x1), 4) as zoom, round_even(x1, 2) as x1 from c")
 def static_track(spark, sf):
-    s = _path(spark, sf).filter(F.col("label") == "signup").withColumns({"shot": F.col("frame"), "start_frame": F.col("frame"), "end_frame": F.col("frame") + 48}).drop("frame")
+    s = _path(spark, sf).withColumns({"shot": F.col("frame"), "start_frame": F.col("frame"), "end_frame": F.col("frame") + 48}).drop("frame")
     return op.static_track(s, 24.0, W, H).select("asset_id", "frame", "shot", "zoom", "x1")
 
 

@@ -44,7 +44,7 @@ def clock_nearest(spark, sf):
 
 
 INDEX = f"""f as ({fx.FRAMES_SQL}), n as (select asset_id, max(frame) as last from f group by 1),
-  q as (select asset_id, event_id, (event_id % 120) - 5 + (event_id % 4) * 0.25 as index from f where label = 'click'),
+  q as (select asset_id, event_id, (event_id % 120) - 5 + (event_id % 4) * 0.25 as index from f),
   ms as (select q.asset_id, q.event_id, q.index, case when index <= 0 then a.pts_us + index * 40000.0 when index >= last then a.pts_us + (index - last) * 40000.0
     else a.pts_us + (index - a.frame) * (b.pts_us - a.pts_us) end as us from q join n using (asset_id)
     join f a on a.asset_id = q.asset_id and a.frame = least(greatest(floor(index), 0), last) left join f b on b.asset_id = q.asset_id and b.frame = a.frame + 1)"""
@@ -52,15 +52,14 @@ INDEX = f"""f as ({fx.FRAMES_SQL}), n as (select asset_id, max(frame) as last fr
 
 @query("clock_ms", f"with {INDEX} select asset_id, event_id, round(us, 2)::double as us from ms")
 def clock_ms(spark, sf):
-    q = fx.events(spark, sf).filter(F.col("label") == "click").select("asset_id", "event_id", ((F.col("event_id") % 120) - 5 + (F.col("event_id") % 4) * F.lit(0.25)).alias("index"))
+    q = fx.events(spark, sf).select("asset_id", "event_id", ((F.col("event_id") % 120) - 5 + (F.col("event_id") % 4) * F.lit(0.25)).alias("index"))
     return op.time_of(q, _clock(spark, sf)).select("asset_id", "event_id", F.round("us", 2).alias("us"))
 
 
-@query("clock_seek", f"""with f as ({fx.FRAMES_SQL}) select asset_id, frame, case when frame = 0 then 0.0 else (pts_us + lag(pts_us) over (partition by asset_id order by frame)) / 2.0 end as us from f
-  qualify label = 'click'""")
+@query("clock_seek", f"""with f as ({fx.FRAMES_SQL}) select asset_id, frame, case when frame = 0 then 0.0 else (pts_us + lag(pts_us) over (partition by asset_id order by frame)) / 2.0 end as us from f""")
 def clock_seek(spark, sf):
     f = fx.frames(spark, sf)
-    return op.seek_time(f.filter(F.col("label") == "click").select("asset_id", "frame"), f.select("asset_id", "frame", "pts_us"))
+    return op.seek_time(f.select("asset_id", "frame"), f.select("asset_id", "frame", "pts_us"))
 
 
 SPANS = f"""sp as (select asset_id, event_id as span_id, pts_us as in_us, pts_us + {4 * HALF_HOUR} + event_id % 7 * 1000003 as out_us,

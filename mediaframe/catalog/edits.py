@@ -105,7 +105,7 @@ def trim_in(spark, sf):
  select clip_id, 'whole' as half, start_ms::double as start_ms, in_ms::double as in_ms, out_ms::double as out_ms, freeze_at::double as freeze_at, freeze_hold::double as freeze_hold, dur_ms::double as dur_ms, clip_id::varchar as clip_key from s where not cut
  union all select clip_id, 'left', start_ms, case when reversed then point else in_ms end, case when reversed then out_ms else point end, case when not bf then freeze_at end, case when wi then local - freeze_at when not bf then freeze_hold end, local, clip_id::varchar from s where cut
  union all select clip_id, 'right', at_ms, case when reversed then in_ms else point end, case when reversed then point else out_ms end, case when bf then freeze_at - local when wi then 0 end, case when bf then freeze_hold when wi then freeze_at + freeze_hold - local end, dur_ms - local,
-   'clp_' || substr(sha1(project_id || '|' || clip_id || '|' || at_ms), 1, 12) from s where cut""")
+   'clp_' || sha1(project_id || '|' || clip_id || '|' || at_ms) from s where cut""")
 def split(spark, sf):
     w = _timed(fx.wide_clips(spark, sf))
     e = w.filter(F.col("link_id").isNull()).select("project_id", "clip_id", (F.col("start_ms") + 1500).alias("at_ms"))
@@ -267,7 +267,7 @@ def paste_attributes(spark, sf):
  q as (select an.*, coalesce(o.muted, an.muted) as om, coalesce(o.voice, an.voice) as ov from an left join v o on o.project_id = an.project_id and o.clip_id = an.mirror_id),
  st as (select *, unnest(['vocals', 'background']) as stem from q), mu as (select distinct project_id, coalesce(mirror_id, clip_id) as clip_id from q)
  select clip_id::varchar as clip_key, null::varchar as stem, null::varchar as role, v.muted or mu.clip_id is not null as muted, start_ms from v left join mu using (project_id, clip_id)
- union all select 'clp_' || substr(sha1(project_id || '|' || clip_id || '|' || stem), 1, 12), stem, case stem when 'vocals' then 'voice' else 'background' end, om or (ov = 'voice' and stem = 'background') or (ov = 'background' and stem = 'vocals'), start_ms from st""")
+ union all select 'clp_' || sha1(project_id || '|' || clip_id || '|' || stem), stem, case stem when 'vocals' then 'voice' else 'background' end, om or (ov = 'voice' and stem = 'background') or (ov = 'background' and stem = 'vocals'), start_ms from st""")
 def separate_to_tracks(spark, sf):
     v = _voiced(spark, sf)
     assets = spark.createDataFrame([(i, f"v{i}" if i != 4 else None, f"b{i}") for i in range(7)], "asset_id bigint, vocals string, background string")
@@ -277,7 +277,7 @@ def separate_to_tracks(spark, sf):
 
 @query("rough_cut", f"""with a as (select asset_id // 100 as project_id, asset_id, duration_ms, asset_id % 3 > 0 as has_audio from ({fx.ASSETS_SQL}) where kind = 'video'), p as (select *, (sum(duration_ms) over (partition by project_id order by asset_id) - duration_ms)::bigint as start_ms from a),
  k as (select *, unnest(case when has_audio then ['video', 'audio'] else ['video'] end) as kind from p)
- select project_id, asset_id, kind, start_ms, 0 as in_ms, duration_ms as out_ms, case when has_audio then 'lnk_' || substr(sha1(project_id || '|' || asset_id), 1, 12) end as link_key from k""".replace("0 as in_ms", "0::bigint as in_ms"))
+ select project_id, asset_id, kind, start_ms, 0 as in_ms, duration_ms as out_ms, case when has_audio then 'lnk_' || sha1(project_id || '|' || asset_id) end as link_key from k""".replace("0 as in_ms", "0::bigint as in_ms"))
 def rough_cut(spark, sf):
     a = fx.assets(spark, sf).filter(F.col("kind") == "video")
     return op.rough_cut(a.select(F.floor(F.col("asset_id") / 100).alias("project_id"), "asset_id", F.col("asset_id").alias("story_pos"), "duration_ms", (F.col("asset_id") % 3 > 0).alias("has_audio")))

@@ -87,14 +87,14 @@ def preset_usage(spark, sf):
     return w.join(F.broadcast(presets.transition_types(spark)), "type", "left").groupBy("type").agg(F.count("*").alias("uses"), F.max("code").alias("code"))
 
 
-@query("speed_lut", """with c as (select event_id as curve_id, 0.5 + (event_id % 4) * 0.5::double as a, 1.0 + (event_id % 3)::double as b from events where event_type = 'click'), g as (select *, unnest(range(0, 33)) as k from c), v as (select *, a + (b - a) * (k / 32.0::double) as s from g),
+@query("speed_lut", """with c as (select event_id as curve_id, 0.5 + (event_id % 4) * 0.5::double as a, 1.0 + (event_id % 3)::double as b from events), g as (select *, unnest(range(0, 33)) as k from c), v as (select *, a + (b - a) * (k / 32.0::double) as s from g),
  t as (select curve_id, k, coalesce((1 / s + lag(1 / s) over w) / 64, 0) as ar, 1 / s as inv from v window w as (partition by curve_id order by k))
  select curve_id, round(sum(ar), 6) as factor, round(33 / sum(inv), 6) as average_speed, max(inv > 1 / 0.999) as has_slow_motion from t group by 1""")
 def speed_lut(spark, sf):
     # two-point curves are straight lines, so the oracle needs no tangents
     i = F.col("event_id")
     pt = lambda x, y: F.struct(F.lit(x).alias("x"), y.alias("y"))
-    curves = fx.events(spark, sf).filter(F.col("label") == "click").select(i.alias("curve_id"), F.array(pt(0.0, F.lit(0.5) + (i % 4) * 0.5), pt(1.0, (F.lit(1.0) + (i % 3)))).alias("points"))
+    curves = fx.events(spark, sf).select(i.alias("curve_id"), F.array(pt(0.0, F.lit(0.5) + (i % 4) * 0.5), pt(1.0, (F.lit(1.0) + (i % 3)))).alias("points"))
     f = sp.speed_factor(sp.speed_lut(curves, 33))
     return f.select("curve_id", F.round("factor", 6).alias("factor"), F.round("average_speed", 6).alias("average_speed"), "has_slow_motion")
 
@@ -111,7 +111,7 @@ def speed_ramp_times(spark, sf):
 
 
 @query("time_texts", """select event_id, lpad((t // 24 // 3600)::varchar, 2, '0') || ':' || lpad((t // 24 // 60 % 60)::varchar, 2, '0') || ':' || lpad((t // 24 % 60)::varchar, 2, '0') || ':' || lpad((t % 24)::varchar, 2, '0') as tc,
-  case when ms >= 6000000 then (ms // 60000)::varchar else lpad((ms // 60000)::varchar, 2, '0') end || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') as short, sha1(event_id || '|' || ms) as key, 'ast_' || substr(sha1(event_id::varchar), 1, 12) as id, case when ms >= 60000 then (ms // 60000) || 'm ' || round((ms % 60000) / 1000.0)::bigint || 's' end as long_
+  case when ms >= 6000000 then (ms // 60000)::varchar else lpad((ms // 60000)::varchar, 2, '0') end || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') as short, sha1(event_id || '|' || ms) as key, 'ast_' || sha1(event_id::varchar) as id, case when ms >= 60000 then (ms // 60000) || 'm ' || round((ms % 60000) / 1000.0)::bigint || 's' end as long_
   from (select event_id, event_id * 1237 as ms, floor(event_id * 1237 / 1000.0::double * 24 + 1e-6)::bigint as t from events)""")
 def time_texts(spark, sf):
     ms = F.col("event_id") * 1237

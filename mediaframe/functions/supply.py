@@ -10,15 +10,16 @@ def needs_frames(project_fps: Column, source_fps: Column, min_rate: Column) -> C
     return (source_fps > 0) & (min_rate > 0) & (project_fps > source_fps * min_rate * 1.1)
 
 
-def flow_target(project_fps: Column, source_fps: Column, min_rate: Column) -> Column:
-    f = F.least(F.ceil(project_fps / min_rate - 1e-6).cast("double"), source_fps * 8.0, F.lit(480.0))
+def flow_target(project_fps: Column, source_fps: Column, min_rate: Column, most_factor: float = 8.0, most_fps: float = 480.0) -> Column:
+    """Rate to interpolate to: what the slowest part needs, at most ``most_factor`` times the source and ``most_fps``."""
+    f = F.least(F.ceil(project_fps / min_rate - 1e-6).cast("double"), source_fps * most_factor, F.lit(most_fps))
     return F.when(needs_frames(project_fps, source_fps, min_rate) & (f > source_fps * 1.05), f)
 
 
-def slow_grid(min_speed: Column, source_fps: Column, project_fps: Column) -> Column:
-    """Refinement of the decode grid for slow motion from fast footage."""
+def slow_grid(min_speed: Column, source_fps: Column, project_fps: Column, most: int = 8) -> Column:
+    """Refinement of the decode grid for slow motion from fast footage, ``most`` times at most."""
     n = F.least(F.ceil(F.lit(1.0) / min_speed), F.round(source_fps / project_fps))
-    return F.when((min_speed >= 0.999) | (source_fps <= 0), 1).otherwise(F.least(F.greatest(n, F.lit(1)), F.lit(8))).cast("int")
+    return F.when((min_speed >= 0.999) | (source_fps <= 0), 1).otherwise(F.least(F.greatest(n, F.lit(1)), F.lit(most))).cast("int")
 
 
 def frame_supply(mode: Column, flow_on: Column, source_fps: Column, min_rate: Column, project_fps: Column, grid: Column) -> Column:

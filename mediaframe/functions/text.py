@@ -48,5 +48,5 @@ def pair_key(a: Column, b: Column, version: int = 1) -> Column:
 
 
 def new_id(prefix: str, *keys: Column) -> Column:
-    """Deterministic id: prefix and 12 hex digits of the keys' hash (random ids would change on a re-run)."""
-    return F.concat(F.lit(prefix + "_"), F.substring(fingerprint(*keys), 1, 12))
+    """Deterministic id: prefix and the keys' whole hash (random ids would change on a re-run, cut ones collide)."""
+    return F.concat(F.lit(prefix + "_"), fingerprint(*keys))

@@ -156,11 +156,12 @@ def autocorrelation(series: DataFrame, value: str, max_lag: int, up: int = 1, si
 
 def tempo(env: DataFrame, fps: float, low: float = 60.0, high: float = 200.0, prior: float = 120.0) -> DataFrame:
     """(asset_id, bpm, periodicity): the best lag of the smoothed, four times upsampled autocorrelation under a
-    log-normal prior, refined by a parabola. Assets shorter than two seconds or silent are left out."""
+    log-normal prior, refined by a parabola. Assets shorter than two seconds, or silent, have no tempo and periodicity 0."""
     up = 4
     rate = fps * up
     lag_min, lag_max = int(math.floor(rate * 60 / high)), int(math.ceil(rate * 60 / low))
-    stats = env.groupBy("asset_id").agg(F.avg("env").alias("_mean"), F.max("env").alias("_max"), F.count("*").alias("n")).filter((F.col("n") >= int(fps * 2)) & (F.col("_max") > 0))
+    every = env.groupBy("asset_id").agg(F.avg("env").alias("_mean"), F.max("env").alias("_max"), F.count("*").alias("n"))
+    stats = every.filter((F.col("n") >= int(fps * 2)) & (F.col("_max") > 0))
     centred = env.join(stats, "asset_id").withColumn("x", F.col("env") - F.col("_mean"))
     w = Window.partitionBy("asset_id", "_block").orderBy("frame")
     smooth = scan.halo(centred, "frame", BLOCK, 1, 1).withColumn(
@@ -179,7 +180,8 @@ def tempo(env: DataFrame, fps: float, low: float = 60.0, high: float = 200.0, pr
     lag, y0, y1, y2 = -F.col("m.neg"), F.col("m.y0"), F.col("m.score"), F.col("m.y2")
     curve = y0 - y1 * 2 + y2
     fine = lag + F.when(y0.isNotNull() & y2.isNotNull() & (F.abs(curve) > 1e-12), (y0 - y2) * 0.5 / curve).otherwise(0.0)
-    return best.select("asset_id", (F.lit(60.0 * rate) / fine).alias("bpm"), F.greatest(F.lit(0.0), F.col("m.r")).alias("periodicity"))
+    found = best.select("asset_id", (F.lit(60.0 * rate) / fine).alias("bpm"), F.greatest(F.lit(0.0), F.col("m.r")).alias("periodicity"))
+    return every.join(found, "asset_id", "left").select("asset_id", "bpm", F.coalesce("periodicity", F.lit(0.0)).alias("periodicity"))
 
 
 def tempos_agree(a: Column, b: Column, tol: float = 0.06) -> Column:
@@ -198,6 +200,7 @@ def track_beats(env: DataFrame, tempos: DataFrame, fps: float, min_strength: flo
     """Beats on the tempo grid (asset_id, position in frames, strength): the phase with the most onset energy,
     every grid point moved to the strongest onset within an eighth of a period, refined by a parabola, at least
     half a period apart. env: asset_id, frame, env; tempos: asset_id, bpm."""
+    tempos = tempos.filter(F.col("bpm").isNotNull())
     n = env.groupBy("asset_id").agg((F.max("frame") + 1).alias("n"))
     t = tempos.join(n, "asset_id").withColumn("period", F.lit(fps * 60.0) / F.col("bpm")).filter(F.col("period") > 1)
     near = scan.ordered_scan(env, ["asset_id"], [F.col("frame")], bucket_of(F.col("frame"), BLOCK), before=scan.lag(F.col("env")), after=scan.lead(F.col("env")))

@@ -1,8 +1,8 @@
 """Every probe vector against every reference vector, as bounded matrix tiles.
 
-Both sides are hashed into tiles of bounded size; each (probe tile, reference tile) is one task-sized matrix
-product and only its summary rows (top k per owner, softmax mass) leave it. A reference bank of one tile
-moves every probe exactly once; a larger bank replicates probes once per reference tile.
+A reference bank of at most ``BANK_ROWS`` rows, which is checked, is broadcast: probes stay where they are and are
+multiplied slice by slice. A larger bank is hashed into tiles, and each (probe tile, reference tile) is one
+task-sized matrix product. Only summary rows (top k per owner, softmax mass) leave a product.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 PROBE_ROWS = 2048
 REFERENCE_ROWS = 16_384
+#: The largest bank that is broadcast; with 128 numbers a row about 32 MB.
+BANK_ROWS = 32_768
 SLICE = 256  # probes multiplied at once inside a tile
 
 
@@ -32,6 +34,25 @@ def unit(vectors: pd.Series) -> np.ndarray:
 def tiled_products(probes: DataFrame, refs: DataFrame, probe_id: str, ref_id: str, schema: str,
                    reduce: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]) -> DataFrame:
     """``reduce(probe_rows, reference_rows, cosines)`` is called per slice; both sides need ``embedding``."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def products(a: pd.DataFrame, b: pd.DataFrame, mb: np.ndarray) -> Iterator[pd.DataFrame]:
+        for s in range(0, len(a), SLICE):
+            part = a.iloc[s:s + SLICE]
+            yield reduce(part, b, unit(part["embedding"]) @ mb.T)
+
+    few = refs.limit(BANK_ROWS + 1).toPandas()
+    if len(few) <= BANK_ROWS:
+        shared = probes.sparkSession.sparkContext.broadcast((few, unit(few["embedding"]) if len(few) else None))
+
+        def stay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            b, mb = shared.value
+            for a in batches:
+                if len(a) and len(b):
+                    yield from products(a, b, mb)
+
+        return probes.mapInPandas(stay, schema)
+
     np_, nr = _tiles(probes, PROBE_ROWS), _tiles(refs, REFERENCE_ROWS)
     p = probes.withColumn("_pt", F.pmod(F.xxhash64(probe_id), F.lit(np_)).cast("int")).withColumn(
         "_rt", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
@@ -40,12 +61,7 @@ def tiled_products(probes: DataFrame, refs: DataFrame, probe_id: str, ref_id: st
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({f.strip().split(" ")[0]: [] for f in schema.split(",")})
-        mb = unit(b["embedding"])
-        parts = []
-        for s in range(0, len(a), SLICE):
-            part = a.iloc[s:s + SLICE]
-            parts.append(reduce(part, b, unit(part["embedding"]) @ mb.T))
-        return pd.concat(parts, ignore_index=True)
+            return pd.DataFrame({n: [] for n in names})
+        return pd.concat(list(products(a, b, unit(b["embedding"]))), ignore_index=True)
 
     return p.groupBy("_pt", "_rt").cogroup(r.groupBy("_pt", "_rt")).applyInPandas(run, schema)

@@ -7,7 +7,6 @@ needed). State is bounded: per job, per live track, or by the watermark.
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mediaframe import schemas
+from mediaframe.session import shared_folder
 from mediaframe.operators.tracking import TRACK_SCHEMA, Tracker, TrackerOptions
 
 
@@ -147,7 +147,7 @@ def resample_stream(frames: DataFrame, period_us: int, near_us: int = 500) -> Da
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process everything available and return the result as a table in the shared checkpoint folder."""
     spark = stream.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='mediaframe-')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").start(f"{base}/rows")
