@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,10 @@ def write_projects(tables: dict[str, DataFrame], path: str) -> None:
     flat = lambda n: F.when(F.col(n) == 0, F.lit(0.0)).otherwise(F.col(n))
     doc = F.col("document").withField("startMs", flat("start_ms")).withField("inMs", flat("in_ms")).withField("outMs", flat("out_ms"))
     nulls = [F.when(F.col(f"document.{n}").isNull(), F.lit(f'"{n}":null')) for n in ("mask", "reframe", "freezeFrame")]
+    color = F.col("document.color")
+    no_lut = F.when(color["lutAssetId"].isNull(), F.lit('"lutAssetId":null'))
+    nulls.append(F.when(color.isNotNull(), F.concat(F.lit('"color":'), _extend(F.to_json(color), no_lut))))
+    doc = doc.dropFields("color")
     ordered = lambda pos, json: F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), json.alias("j")))), lambda s: s["j"])
     clips = tables["clips"].groupBy("project_id", "track_index").agg(ordered("clip_index", _extend(F.to_json(doc), *nulls)).alias("clips"))
     t = tables["tracks"].join(clips, ["project_id", "track_index"], "left")
@@ -182,13 +187,16 @@ def load_bank(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("key") == key)
 
 
-def read_adjust_presets(spark: SparkSession, path: str, default: dict[str, float] | None = None) -> DataFrame:
+def read_adjust_presets(spark: SparkSession, path: str, default: dict[str, object] | None = None) -> DataFrame:
     """Versioned slider presets; the default is written first when nothing is there yet."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if default is not None and not target.getFileSystem(conf).exists(target):
-        write_adjust_presets(spark.createDataFrame([(1, "Universal adjust", {k: str(v) for k, v in default.items()})], schemas.ADJUST), path)
-    return spark.read.schema(schemas.ADJUST).json(path)
+    read = spark.read.schema(schemas.ADJUST)
+    try:
+        return read.json(path)
+    except AnalysisException:
+        if default is None:
+            raise
+    write_adjust_presets(spark.createDataFrame([(1, "Universal adjust", default)], schemas.ADJUST), path)
+    return read.json(path)
 
 
 def write_adjust_presets(presets: DataFrame, path: str) -> None:
