@@ -162,20 +162,6 @@ def iou_match(spark, sf):
     return op.iou_match(fx.detections(spark, sf), _tracks(spark, sf), W, H).select("frame_id", "det", "track_id")
 
 
-@query("shot_stats", PAIRS + """, b as (select shot_id, count(distinct frame_id) as frames, count(*) as detections from d group by 1),
- p as (select shot_id, count(*) as pairs, max(case when compatible then iou end) as a, max(case when compatible and not nested and min_height >= 108 then iou end) as m
-   from pairs group by 1)
- select shot_id, frames, detections, coalesce(pairs, 0) as pairs, round(coalesce(a, 0), 8) as max_label_iou, round(coalesce(m, 0), 8) as max_ambiguous_iou,
-  case when frames > 0 and detections = 0 then 'nothing found' when coalesce(m, 0) > 0.3 then 'ambiguous overlap' when coalesce(pairs, 0) > 200 then 'borderline similarity' end as reason
- from b left join p using (shot_id)""")
-def shot_stats(spark, sf):
-    d = fx.detections(spark, sf)
-    p = op.pair_detections(d, W, H).withColumn("shot_id", F.floor(F.col("frame_id") / 100))
-    s = op.shot_stats(d, p, H)
-    reason = op.escalation_reason(F.col("frames"), F.col("detections"), F.col("max_ambiguous_iou"), F.greatest(F.col("pairs") - 200, F.lit(0)))
-    return s.select("shot_id", "frames", "detections", "pairs", r("max_label_iou", 8), r("max_ambiguous_iou", 8), reason.alias("reason"))
-
-
 # --- duplicates: the label is the best guess, the score the identity score, the size the appearance
 
 IDENT = f"""ident as (select *, case when label = 'A' and score >= 0.5 then 'A' end as character, case when label <> 'N' then label end as best, score as id_score,
@@ -218,6 +204,31 @@ def _confirmable(spark, sf):
     return _findings(spark, sf).filter(F.col("rule") != "borderline")
 
 
+ALIKE = FINDINGS + f""", alike as (select shot_id, sim, rule from q where ac is null and bc is null and compatible and tall and least(asc_, bsc) >= 0.4 and ratio
+   and not (known and least(asc_, bsc) >= 0.4 and ab <> bb) and coalesce(rule, '') <> 'near'),
+ looks as (select shot_id, count(*) as generic_pairs, count(*) filter (rule = 'borderline') as borderline, max(sim) as max_sim from alike group by 1),
+ over_ as (select a.shot_id, count(*) as pairs, max(case when a.label = b.label then {IOU} end) as x,
+   max(case when a.label = b.label and not {NESTED} and not coalesce(a.character <> b.character, false) and least(a.y2 - a.y1, b.y2 - b.y1) >= 108 then {IOU} end) as m
+   from ident a join ident b on a.frame_id = b.frame_id and a.det < b.det and {IOU} > 0 group by 1),
+ base as (select shot_id, count(distinct frame_id) as frames, count(*) as detections from ident group by 1)
+"""
+
+
+@query("shot_stats", ALIKE + """select shot_id, frames, detections, coalesce(pairs, 0) as pairs, round(coalesce(x, 0), 8) as max_label_iou, round(coalesce(m, 0), 8) as max_ambiguous_iou,
+  coalesce(generic_pairs, 0) as generic_pairs, coalesce(borderline, 0) as borderline, round(coalesce(max_sim, 0), 8)::double as max_sim,
+  case when frames > 0 and detections = 0 then 'nothing found' when coalesce(m, 0) > 0.3 then 'ambiguous overlap' when coalesce(borderline, 0) > 0 then 'borderline similarity' end as reason
+ from base left join over_ using (shot_id) left join looks using (shot_id)""")
+def shot_stats(spark, sf):
+    d = _idents(spark, sf)
+    shot = F.floor(F.col("frame_id") / 100)
+    sim = lambda a, b: F.lit(1.0) - F.abs(F.col(f"{a}id_score") - F.col(f"{b}id_score"))
+    alike = op.duplicate_pairs(d, sim, W, H, like_floor=0.4).withColumn("shot_id", shot)
+    pairs = op.pair_detections(d.withColumn("score", F.col("id_score")), W, H).withColumn("shot_id", shot)
+    s = op.shot_stats(d.withColumn("shot_id", shot), pairs, H, alike)
+    reason = op.escalation_reason(F.col("frames"), F.col("detections"), F.col("max_ambiguous_iou"), F.col("borderline"))
+    return s.select("shot_id", "frames", "detections", "pairs", r("max_label_iou", 8), r("max_ambiguous_iou", 8), "generic_pairs", "borderline", r("max_sim", 8), reason.alias("reason"))
+
+
 @query("find_duplicates", FINDINGS + "select frame_id, shot_id, rule, similarity, character, p_det, d_det from findings")
 def find_duplicates(spark, sf):
     return _findings(spark, sf).select("frame_id", "shot_id", "rule", "similarity", "character", "p_det", "d_det")

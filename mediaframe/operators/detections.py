@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions import geometry as g
 from mediaframe.plans.sequential import Processor, greedy_pairs, sequential
-from mediaframe.plans.tiles import tiled_self_join
+from mediaframe.plans.tiles import tiled_join, tiled_self_join
 
 # fixed values
 GENERIC_WORDS = ("character", "creature", "animal", "person", "people", "figure")
@@ -152,7 +152,7 @@ def iou_match(dets: DataFrame, tracks: DataFrame, w: float, h: float, min_iou: f
     falling IoU and remembers used ids only."""
     t = tracks.select(F.col("frame_id").alias("_f"), "track_id", *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
     overlap = g.iou(g.box(), g.box("t_"))
-    cand = dets.join(t, (F.col("frame_id") == F.col("_f")) & g.intersects(g.box(), g.box("t_"))).withColumn("iou", overlap).filter(
+    cand = tiled_join(dets, t, "frame_id", "_f", "det", "track_id", g.intersects(g.box(), g.box("t_"))).withColumn("iou", overlap).filter(
         F.col("iou") >= min_iou).select("frame_id", "det", "track_id", (-F.col("iou")).alias("rank"))
 
     won = greedy_pairs(cand, ["frame_id"], ["rank", "det", "track_id"], "det", "track_id")
@@ -166,9 +166,10 @@ def iou_match(dets: DataFrame, tracks: DataFrame, w: float, h: float, min_iou: f
 
 def pair_detections(dets: DataFrame, w: float, h: float, min_iou: float = 0.0) -> DataFrame:
     """Overlapping pairs of one frame (IoU > ``min_iou``) with their geometry. Boxes that do not touch have
-    IoU and containment 0 and are not listed."""
+    IoU and containment 0 and are not listed. With a ``character`` column pairs also tell ``different``."""
     a, b = g.box("a_"), g.box("b_")
-    pairs = tiled_self_join(dets.select("frame_id", "det", "label", "score", "x1", "y1", "x2", "y2"), ["frame_id"], "det",
+    named = [c for c in ("character",) if c in dets.columns]
+    pairs = tiled_self_join(dets.select("frame_id", "det", "label", "score", "x1", "y1", "x2", "y2", *named), ["frame_id"], "det",
                             g.intersects(a, b) & (g.iou(a, b) > min_iou))
     return pairs.select(
         "frame_id", F.col("a_det").alias("det_a"), F.col("b_det").alias("det_b"), g.iou(a, b).alias("iou"),
@@ -176,12 +177,13 @@ def pair_detections(dets: DataFrame, w: float, h: float, min_iou: float = 0.0) -
         (g.raw_area(a) / g.raw_area(b)).alias("area_ratio"), g.head_in_body(a, b).alias("nested"),
         labels_compatible(F.col("a_label"), F.col("b_label")).alias("compatible"),
         g.centre_distance(a, w, h).alias("dist_a"), g.centre_distance(b, w, h).alias("dist_b"),
-        F.least(g.height(a), g.height(b)).alias("min_height"))
+        F.least(g.height(a), g.height(b)).alias("min_height"), *([certainly_different().alias("different")] if named else []))
 
 
-def duplicate_candidates(dets: DataFrame, similarity, w: float, h: float, threshold: float = 0.85,
-                         like_floor: float | None = None, unique_ids: list[str] | None = None) -> DataFrame:
-    """Pairs of one frame that look like the same subject twice.
+def duplicate_pairs(dets: DataFrame, similarity, w: float, h: float, threshold: float = 0.85,
+                    like_floor: float | None = None, unique_ids: list[str] | None = None) -> DataFrame:
+    """Pairs of one frame that could be the same subject twice, with ``sim``, ``rule`` (null where the pair isn't alike
+    enough for any) and ``generic`` (judged by looks alone). Columns of the two rows come as ``a_*`` and ``b_*``.
 
     dets need track_id, character, best, id_score, rejected besides the boxes, and the columns the
     ``similarity(a_prefix, b_prefix)`` expression reads. ``rule`` is named, near (same best guess below the id threshold),
@@ -215,10 +217,19 @@ def duplicate_candidates(dets: DataFrame, similarity, w: float, h: float, thresh
     hit, bit = F.col("sim") >= threshold, lambda n: F.col("kind").bitwiseAND(n) > 0
     rule = (F.when(bit(1), F.when(hit, "named")).when(bit(2) & hit, "near").when(bit(4) & hit, "generic")
             .when(bit(4) & (F.col("sim") >= threshold - BORDERLINE_MARGIN), "borderline"))
+    return pairs.withColumn("rule", rule).withColumn("generic", bit(4) & ~(bit(2) & hit))
+
+
+def duplicate_candidates(dets: DataFrame, similarity, w: float, h: float, threshold: float = 0.85,
+                         like_floor: float | None = None, unique_ids: list[str] | None = None) -> DataFrame:
+    """The pairs of ``duplicate_pairs`` with a rule, as primary (``p_*``) and duplicate (``d_*``)."""
+    pairs = duplicate_pairs(dets, similarity, w, h, threshold, like_floor, unique_ids)
+    col = lambda side, name: F.col(f"{side}_{name}")
+    aa, ab = col("a", "_area"), col("b", "_area")
     da, db = col("a", "_dist"), col("b", "_dist")
     by_score = F.when(F.abs(col("a", "id_score") - col("b", "id_score")) > 1e-6, col("a", "id_score") > col("b", "id_score")).otherwise(da <= db)
     by_centre = (da < db) | ((F.abs(da - db) < 1e-6) & (aa >= ab))
-    out = pairs.withColumn("rule", rule).filter(F.col("rule").isNotNull()).withColumn("similarity", F.round("sim", 4)).withColumn(
+    out = pairs.filter(F.col("rule").isNotNull()).withColumn("similarity", F.round("sim", 4)).withColumn(
         "first", F.when(F.col("rule").isin("named", "near"), by_score).otherwise(by_centre))
     take = lambda name, win: F.when(F.col("first") == win, col("a", name)).otherwise(col("b", name))
     return out.select(
@@ -286,17 +297,31 @@ def merge_passes(first: DataFrame, second: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- statistics
 
 
-def shot_stats(dets: DataFrame, pairs: DataFrame, h: float) -> DataFrame:
-    """Per shot: frames, detections, highest overlap of compatible pairs, highest ambiguous overlap."""
+def shot_stats(dets: DataFrame, pairs: DataFrame, h: float, alike: DataFrame | None = None) -> DataFrame:
+    """Per shot: frames, detections, overlapping pairs, highest overlap of compatible pairs, highest ambiguous overlap.
+    Pairs with ``different`` set (two cast members for certain) are not ambiguous. With ``alike`` (duplicate_pairs with
+    shot_id) also the pairs judged by looks, how many of them are borderline, and their highest similarity."""
     base = dets.groupBy("shot_id").agg(F.countDistinct("frame_id").alias("frames"), F.count("*").alias("detections"))
-    ambiguous = F.col("compatible") & ~F.col("nested") & (F.col("min_height") >= MIN_HEIGHT_FRACTION * h)
+    different = F.coalesce("different", F.lit(False)) if "different" in pairs.columns else F.lit(False)
+    ambiguous = F.col("compatible") & ~F.col("nested") & ~different & (F.col("min_height") >= MIN_HEIGHT_FRACTION * h)
     over = pairs.groupBy("shot_id").agg(
         F.count("*").alias("pairs"), F.max(F.when(F.col("compatible"), F.col("iou"))).alias("max_label_iou"),
         F.max(F.when(ambiguous, F.col("iou"))).alias("max_ambiguous_iou"))
     zero = F.lit(0.0)
-    return base.join(over, "shot_id", "left").select(
+    out = base.join(over, "shot_id", "left").select(
         "shot_id", "frames", "detections", F.coalesce("pairs", F.lit(0)).alias("pairs"),
         F.coalesce("max_label_iou", zero).alias("max_label_iou"), F.coalesce("max_ambiguous_iou", zero).alias("max_ambiguous_iou"))
+    if alike is None:
+        return out
+    looks = alike.filter("generic").groupBy("shot_id").agg(
+        F.count("*").alias("generic_pairs"), F.count_if(F.col("rule") == "borderline").alias("borderline"), F.max("sim").alias("max_sim"))
+    return out.join(looks, "shot_id", "left").withColumns({
+        "generic_pairs": F.coalesce("generic_pairs", F.lit(0)), "borderline": F.coalesce("borderline", F.lit(0)), "max_sim": F.coalesce("max_sim", zero)})
+
+
+def certainly_different(a: str = "a_", b: str = "b_") -> Column:
+    """Two cast members for certain: different confident characters."""
+    return F.coalesce(F.col(f"{a}character") != F.col(f"{b}character"), F.lit(False))
 
 
 def shot_cast(sightings: DataFrame, min_frames: int = 2, min_hits: int = 3) -> DataFrame:

@@ -41,3 +41,20 @@ def tiled_self_join(df: DataFrame, by: list[str], uid: str, condition: Column, t
     for k in by:
         cond = cond & (F.col(k) == F.col(f"_k_{k}"))
     return low.join(high, cond, "inner").drop("_ta", "_tb", "_ka", "_kb", "a_tile", "b_tile", *[f"_k_{k}" for k in by])
+
+
+def tiled_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_uid: str, right_uid: str, condition: Column, tile_rows: int = 2048) -> DataFrame:
+    """Pairs of ``left`` and ``right`` rows of one group that satisfy ``condition``. A group with many rows on either
+    side is cut into tiles by the rows' ids, and every pair of tiles is a join key of its own."""
+    def cut(df: DataFrame, key: str, uid: str, own: str, n: str, other: DataFrame | None) -> DataFrame:
+        t = df.join(tile_counts(df, [key], tile_rows).withColumnRenamed("_tiles", n), key, "left").withColumn(n, F.coalesce(n, F.lit(1)))
+        t = t.withColumn(own, F.pmod(F.xxhash64(uid), F.col(n)).cast("int")).drop(n)
+        if other is None:
+            return t.withColumn(f"{own}_other", F.lit(0))
+        return t.join(other, key, "left").withColumn(f"{own}_other", F.explode(F.sequence(F.lit(0), F.coalesce("_many", F.lit(1)) - 1))).drop("_many")
+
+    many = lambda df, key, to: tile_counts(df, [key], tile_rows).select(F.col(key).alias(to), F.col("_tiles").alias("_many"))
+    a = cut(left, left_key, left_uid, "_la", "_ln", many(right, right_key, left_key))
+    b = cut(right, right_key, right_uid, "_ra", "_rn", many(left, left_key, right_key))
+    met = (F.col(left_key) == F.col(right_key)) & (F.col("_la") == F.col("_ra_other")) & (F.col("_la_other") == F.col("_ra")) & condition
+    return a.join(b, met).drop("_la", "_la_other", "_ra", "_ra_other")
