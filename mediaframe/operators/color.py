@@ -34,23 +34,31 @@ def effective_grade(clips: DataFrame, adjust: DataFrame) -> DataFrame:
     return j.select(*[fresh.get(n, F.col(n)).alias(n) for n in clips.columns])
 
 
+def lut_cells(lattice: DataFrame) -> DataFrame:
+    """One row per cell of a 3D table with its eight corners: lut_id, cr, cg, cb, and _l<channel>0..7, the
+    corner's bits being (r, g, b)."""
+    corner = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    bit = lambda i: F.shiftright("_k", i).bitwiseAND(F.lit(1))
+    at = lattice.withColumn("_k", corner).select("lut_id", "size", "_k", "r", "g", "b", *[(F.col(f"i{ch}") - bit(i)).cast("bigint").alias(f"c{ch}") for i, ch in enumerate("rgb")])
+    for ch in "rgb":
+        at = at.filter(F.col(f"c{ch}").between(0, F.col("size") - 2))
+    return at.groupBy("lut_id", "cr", "cg", "cb").agg(*[F.max(F.when(F.col("_k") == k, F.col(ch))).alias(f"_l{ch}{k}") for ch in "rgb" for k in range(8)])
+
+
 def apply_lut(pixels: DataFrame, lattice: DataFrame, keys: list[str]) -> DataFrame:
     """Trilinear 3D-table lookup mixed in by ``intensity``. pixels: keys, lut_id, intensity, r, g, b; lattice:
-    lut_id, size, ir, ig, ib, r, g, b. Each pixel meets the eight lattice corners around it in an equi-join."""
-    size = lattice.select("lut_id", "size").distinct()
-    p = pixels.join(size, "lut_id")
+    lut_id, size, ir, ig, ib, r, g, b. Each pixel meets its cell once, in an equi-join; pixels are not grouped."""
+    size = lattice.groupBy("lut_id").agg(F.max("size").alias("size"))
+    p = pixels.select(*keys, "lut_id", "intensity", *[F.col(ch).alias(f"_p{ch}") for ch in "rgb"]).join(size, "lut_id")
     n = F.col("size") - 1
     for ch in "rgb":
-        f = F.least(F.greatest(F.col(ch) * n, F.lit(0.0)), n.cast("double"))
-        p = p.withColumn(f"_{ch}0", F.floor(f)).withColumn(f"_{ch}t", f - F.floor(f))
-    corners = F.array(*[F.struct(*[F.lit(v).alias(ch) for ch, v in zip("rgb", (i & 1, i >> 1 & 1, i >> 2))]) for i in range(8)])
-    p = p.withColumn("_c", F.explode(corners))
-    side = lambda ch: F.when(F.col(f"_c.{ch}") == 1, F.col(f"_{ch}t")).otherwise(F.lit(1.0) - F.col(f"_{ch}t"))
-    p = p.withColumns({f"i{ch}": F.least(F.col(f"_{ch}0") + F.col(f"_c.{ch}"), n).cast("bigint") for ch in "rgb"}).withColumn("_w", side("r") * side("g") * side("b"))
-    l = lattice.select("lut_id", *[F.col(f"i{ch}").cast("bigint").alias(f"i{ch}") for ch in "rgb"], *[F.col(ch).alias(f"l_{ch}") for ch in "rgb"])
-    s = p.join(l, ["lut_id", "ir", "ig", "ib"]).groupBy(*keys).agg(
-        *[F.sum(F.col(f"l_{ch}") * F.col("_w")).alias(f"_s{ch}") for ch in "rgb"], *[F.first(x).alias(f"_p{x}") for x in ("r", "g", "b", "intensity")])
-    return s.select(*keys, *[(F.col(f"_p{ch}") + (F.col(f"_s{ch}") - F.col(f"_p{ch}")) * F.col("_pintensity")).alias(ch) for ch in "rgb"])
+        f = F.least(F.greatest(F.col(f"_p{ch}") * n, F.lit(0.0)), n.cast("double"))
+        p = p.withColumn(f"c{ch}", F.least(F.floor(f), n - 1).cast("bigint")).withColumn(f"_{ch}t", f - F.col(f"c{ch}"))
+    side = lambda ch, on: F.col(f"_{ch}t") if on else F.lit(1.0) - F.col(f"_{ch}t")
+    weight = [side("r", k & 1) * side("g", k >> 1 & 1) * side("b", k >> 2) for k in range(8)]
+    mixed = lambda ch: sum((F.col(f"_l{ch}{k}") * weight[k] for k in range(1, 8)), F.col(f"_l{ch}0") * weight[0])
+    cells = p.join(lut_cells(lattice), ["lut_id", "cr", "cg", "cb"])
+    return cells.select(*keys, *[(F.col(f"_p{ch}") + (mixed(ch) - F.col(f"_p{ch}")) * F.col("intensity")).alias(ch) for ch in "rgb"])
 
 
 def composite_layers(layers: DataFrame, by: list[str]) -> DataFrame:
