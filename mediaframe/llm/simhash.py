@@ -7,9 +7,8 @@ ball, and fingerprints listed together are verified over all 64 bits. Listings a
 value listed by very many fingerprints is cut into tiles, each compared by its own task.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; equal texts and
-repeated rows share a fingerprint and are one node; rows without id get the component of their
-fingerprint, whose name is the smallest id present (null when the group has no id at all); an empty
-table gives an empty result.
+repeated rows share a fingerprint and are one node; rows without id get the component of rows with id and the same
+fingerprint, else null, and link nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -186,12 +185,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component_id): one row per row of ``docs``; the component is the smallest id reachable
     over links of at most ``radius`` differing bits."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, words))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    found = components(links(nodes.select("fp"), radius, tile))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    nodes = checkpointed(marked.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least_id")))
+    near = links(nodes.select("fp"), radius, tile)
+    named = near.join(nodes.select(F.col("fp").alias("u"), F.col("least_id").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("least_id").alias("b")), "v")
+    found = components(named.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    of_fp = nodes.join(found, nodes.least_id == found.node, "left").select("fp", F.coalesce("root", "least_id").alias("component_id"))
+    return marked.join(of_fp, "fp", "left").select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = RADIUS) -> DataFrame:
