@@ -156,6 +156,29 @@ def test_simhash_odd(odd, empty):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 6, 7]
 
 
+def test_similar_texts_share_a_component(spark):
+    """Near copies at 0.8 and more are found among unlike texts, whatever the tile."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    texts, groups = {}, {}
+    for g in range(25):
+        base = [word() for _ in range(200)]
+        for c in range(6):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                copy[int(rng.integers(len(copy)))] = word()
+            texts[len(texts)], groups[len(groups)] = " ".join(copy), g
+    for g in range(100, 140):
+        texts[len(texts)], groups[len(groups)] = " ".join(word() for _ in range(60)), g
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    near = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for tile in (4, simhash.TILE):
+        got = {r.doc_id: r.component_id for r in simhash.similar_components(df, tile=tile).collect()}
+        assert np.mean([got[a] == got[b] for a, b in near]) > 0.99
+        assert all(groups[i] == groups[c] for i, c in got.items())
+
+
 # --- quality ------------------------------------------------------------------------------------------------
 
 
@@ -499,25 +522,24 @@ def test_pipeline(spark, docs, texts):
     assert after.columns == docs.columns
     kept = {i: texts[i] for i in (r.doc_id for r in after.collect())}
 
-    def five(t):
-        words = t.encode().lower().split()
-        values = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))]
-        return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
-
-    groups = plain_components({i: five(t) for i, t in kept.items()})
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in ((i, t.lower()) for i, t in kept.items())}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     after = named["near_duplicates"](spark, after, SF)
-    assert {r.doc_id for r in after.collect()} == set(groups.values())
+    left = {r.doc_id for r in after.collect()}
+    gone = set(kept) - left
+    assert gone and all(max(share(g, o) for o in kept if o != g) > 0.6 for g in gone)
+    assert not [1 for a in left for b in left if a < b and share(a, b) >= 0.85]
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     hit = {r.doc_id for r in decontam.find(after, items).collect()}
-    left = named["decontamination"](spark, after, SF)
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(groups.values()) - hit
-    private = named["personal_data"](spark, left, SF)
+    clean = named["decontamination"](spark, after, SF)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == left - hit
+    private = named["personal_data"](spark, clean, SF)
     assert private.columns == docs.columns
     for r in private.collect():
         assert (r.text == texts[r.doc_id]) == (not plain_private(texts[r.doc_id]))
         assert not [s for s in plain_private(r.text) if s[0] != "phone"]
     final = pipeline.run(spark, SF)
-    assert {r.doc_id for r in final.collect()} == set(groups.values()) - hit
+    assert {r.doc_id for r in final.collect()} == left - hit
 
 
 # --- SQL ----------------------------------------------------------------------------------------------------
