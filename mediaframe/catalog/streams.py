@@ -65,6 +65,11 @@ def byte_track_stream(spark, sf):
     x, y = (F.col("l_partkey") * 37 % 1000).cast("double"), (F.col("l_suppkey") * 91 % 500).cast("double")
     d = li.select(F.floor(F.col("l_orderkey") / 1000).alias("asset_id"), F.floor(F.col("l_orderkey") / 100).alias("shot"), F.col("l_orderkey").alias("frame"), F.xxhash64("l_partkey", "l_suppkey", "l_linenumber").alias("det"), F.col("l_returnflag").alias("label"),
                   F.round(F.col("l_discount") * 8 + 0.2, 2).alias("score"), x.alias("x1"), y.alias("y1"), F.least(F.lit(1280.0), x + 40 + F.col("l_quantity") * 8).alias("x2"), F.least(F.lit(720.0), y + 60 + F.col("l_quantity") * 6).alias("y2"))
+    # the orders tell which shots there are; every one of them ends
+    o, none = _stream(spark, sf, "orders"), F.lit(None).cast("double")
+    ends = o.select(F.floor(F.col("o_orderkey") / 1000).alias("asset_id"), F.floor(F.col("o_orderkey") / 100).alias("shot"), F.col("o_orderkey").alias("frame"), F.lit(None).cast("bigint").alias("det"),
+                    F.lit(None).cast("string").alias("label"), *[none.alias(c) for c in ("score", "x1", "y1", "x2", "y2")])
+    d = d.withColumn("score", F.col("score").cast("double")).unionByName(ends)
     return st.drain(st.byte_track_stream(d, tracking.TrackerOptions(high=0.4, low=0.2, birth=0.4, same_label=False)))
 
 

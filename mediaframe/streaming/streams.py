@@ -1,7 +1,7 @@
 """Streams of job events, samples, scores, frames and detections.
 
 Every function takes and returns a streaming DataFrame (a batch one works too where no custom state is
-needed). State is bounded: per job, per live track, or by the watermark.
+needed). State is per job or asset, per live track of a shot that has not ended, or bounded by the watermark.
 """
 
 from __future__ import annotations
@@ -91,29 +91,38 @@ def ordered_frames_stream(frames: DataFrame) -> DataFrame:
 
 
 def byte_track_stream(dets: DataFrame, options: TrackerOptions | None = None) -> DataFrame:
-    """The tracker with its state kept per (asset, shot). A frame must arrive whole in one micro-batch, frames
-    in order across batches; older frames are dropped. Lost tracks leave the state with the tracker's own
-    patience."""
+    """The tracker with its state kept per (asset, shot).
+
+    The newest frame waits in the state until a later one arrives, so a frame may come in parts over several
+    micro-batches; rows of frames older than one already tracked come too late and are dropped. A row without ``det`` ends
+    its shot: what waits is tracked and the state is gone."""
     o = options or TrackerOptions()
+    cols = ["asset_id", "shot", "frame", "det", "label", "score", "x1", "y1", "x2", "y2"]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        tracker, last = Tracker(o), None
+        tracker, last, held = Tracker(o), None, None
         if state.exists:
-            saved, last = pickle.loads(state.get[0])
+            saved, last, held = pickle.loads(state.get[0])
             tracker.load(saved)
-        rows = pd.concat(list(batches)).sort_values(["frame", "det"], kind="stable")
+        rows = pd.concat(([held] if held is not None else []) + list(batches))
+        ended = rows["det"].isna()
+        rows, over = rows[~ended].sort_values(["frame", "det"], kind="stable"), bool(ended.any())
+        newest = rows["frame"].max() if len(rows) else None
         out = []
         for frame, part in rows.groupby("frame", sort=True):
-            if last is not None and frame <= last:
+            if (last is not None and frame <= last) or (frame == newest and not over):
                 continue
             last = frame
             boxes = part[["x1", "y1", "x2", "y2"]].to_numpy()
             for t in sorted(tracker.step([(b, l, s) for b, l, s in zip(boxes, part["label"], part["score"]) if l is not None]), key=lambda t: t.id):
                 out.append((*key, frame, t.id, t.label, float(t.score), *map(float, t.box)))
-        state.update((pickle.dumps((tracker.dump(), last)),))
+        if over:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((pickle.dumps((tracker.dump(), last, rows[rows["frame"] == newest])),))
         yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in TRACK_SCHEMA.split(",")])
 
-    cols = ["asset_id", "shot", "frame", "det", "label", "score", "x1", "y1", "x2", "y2"]
     return dets.select(*cols).groupBy("asset_id", "shot").applyInPandasWithState(step, TRACK_SCHEMA, "tracker binary", "append", GroupStateTimeout.NoTimeout)
 
 
