@@ -57,15 +57,37 @@ def optimal_pairs(cost: np.ndarray, gate: float) -> list[tuple[int, int]]:
     return sorted((a, b) for a, b in pairs if cost[a, b] <= gate)
 
 
+def linked_groups(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Group number of each candidate pair: pairs that share a row or a column, directly or over others."""
+    label = np.arange(len(rows))
+    while True:
+        least = label.copy()
+        for ids in (rows, cols):
+            _, at = np.unique(ids, return_inverse=True)
+            low = np.full(at.max(initial=-1) + 1, len(rows))
+            np.minimum.at(low, at, least)
+            least = low[at]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def assign(costs: DataFrame, gate: float) -> DataFrame:
     """Optimal pairs per frame from candidate costs (frame_id, row_id, col_id, cost); pairs that are not listed
-    are forbidden. A frame's candidates are one group: list only gated ones."""
+    are forbidden. Candidates that share no row or column, directly or over others, don't influence each other: each
+    linked group is solved by itself, so a table is only as large as its group. Every group left unpaired costs the same,
+    so the groups' optima are the frame's."""
     def solve(key, c):
-        rows, cols = np.unique(c["row_id"]), np.unique(c["col_id"])
-        table = np.full((len(rows), len(cols)), gate + 1.0)
-        table[np.searchsorted(rows, c["row_id"]), np.searchsorted(cols, c["col_id"])] = c["cost"]
-        got = optimal_pairs(table, gate)
-        return {"frame_id": [key[0]] * len(got), "row_id": [rows[a] for a, _ in got], "col_id": [cols[b] for _, b in got]}
+        out: list[tuple[int, int]] = []
+        group = linked_groups(c["row_id"], c["col_id"])
+        order = np.argsort(group, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            row_id, col_id = c["row_id"][at], c["col_id"][at]
+            rows, cols = np.unique(row_id), np.unique(col_id)
+            table = np.full((len(rows), len(cols)), gate + 1.0)
+            table[np.searchsorted(rows, row_id), np.searchsorted(cols, col_id)] = c["cost"][at]
+            out += [(rows[a], cols[b]) for a, b in optimal_pairs(table, gate)]
+        return {"frame_id": [key[0]] * len(out), "row_id": [a for a, _ in out], "col_id": [b for _, b in out]}
 
     near = costs.filter(F.col("cost") <= gate).select("frame_id", "row_id", "col_id", "cost")
     return sequential(near, ["frame_id"], ["row_id", "col_id"], "frame_id bigint, row_id bigint, col_id bigint", lambda: Gather(solve))
