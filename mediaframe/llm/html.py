@@ -30,6 +30,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+UNSEEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 PART = re.compile(r"[^a-z]+")
 
 #: Fixed sets of element names.
@@ -42,6 +43,7 @@ OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 HOLDS = frozenset("ul ol dl table tbody thead tfoot tr select article section div main aside nav footer header body html form blockquote".split())
 #: Words in class, id and role names.
 BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu sidebar aside footer comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices alert share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription signup popup modal overlay widget login search pagination pager toolbar masthead skip complementary contentinfo disclaimer copyright".split())
+TOP_NAMES = frozenset("header banner topbar".split())
 GOOD_NAMES = frozenset("article content entry main post story body text prose".split())
 
 HARD = 1e6
@@ -73,7 +75,9 @@ def leaning(tag: str, attrs: str, above: float) -> float:
             names.update(PART.split("".join(found).lower()))
     if tag in BOILERPLATE or (names & BAD_NAMES and tag not in ("body", "html", "main")):
         return -HARD
-    if tag == "header" and above <= 0:
+    if (tag == "header" or names & TOP_NAMES) and above <= 0 and tag not in ("body", "html", "main", "article"):
+        return -HARD
+    if attrs and UNSEEN.search(attrs):
         return -HARD
     if tag in ("article", "main"):
         return max(above, 4.0)

@@ -55,6 +55,7 @@ PAGES = [
     ('<article><p>Text.</p></article><section id="comments"><article><p>Nice post, I liked reading it.</p></article></section>', "Text."),
     ("<article><form><input><label>Mail</label></form><p>a < b &lt;i&gt;</p><aside>Side</aside></article>", "a < b <i>"),
     ("<article><ul><li>one item<li>two items</ul><table><tr><td>cell<td>cell</table></article>", "one item\ntwo items\ncell\ncell"),
+    ('<div id="site-header"><p>Our site of many words, with a slogan.</p></div><article class="post"><p>Body.</p><div hidden>Not seen.</div><div style="display: none">Nor this.</div></article>', "Body."),
     ("<article><p>Cut off in <b>the mid", "Cut off in the mid"),
 ]
 
