@@ -80,10 +80,11 @@ def track_beats(spark, sf):
 
 
 @query("beat_confidence", """select event_id, round(least(1.0, greatest(0, value / 333.0::double) / 0.5::double) * case event_id % 3 when 0 then 0.8 when 1 then 1.0 else 0.0 end, 3)::double as confidence,
-  (abs((value + 60) / 120 - 1) <= 0.06 or abs((value + 60) / 240 - 1) <= 0.06 or abs((value + 60) / 60 - 1) <= 0.06) as agree from events""")
+  (abs((value + 60) / 120 - 1) <= 0.06 or abs((value + 60) / 240 - 1) <= 0.06 or abs((value + 60) / 60 - 1) <= 0.06) as agree, value / 333.0::double >= 0.25 as pulse from events""")
 def beat_confidence(spark, sf):
     agree = F.when(F.col("event_id") % 3 == 1, True).when(F.col("event_id") % 3 == 2, False)
-    return fx.table(spark, sf, "events").select("event_id", op.beat_confidence(F.col("value") / 333.0, agree).alias("confidence"), op.tempos_agree(F.col("value") + 60, F.lit(120.0)).alias("agree"))
+    return fx.table(spark, sf, "events").select("event_id", op.beat_confidence(F.col("value") / 333.0, agree).alias("confidence"), op.tempos_agree(F.col("value") + 60, F.lit(120.0)).alias("agree"),
+                                                     op.has_pulse(F.lit(120.0), F.col("value") / 333.0).alias("pulse"))
 
 
 @query("suggest_transitions", """with c as (select event_id, user_id as asset_id, round(least(1.0, greatest(0.0, 0.6 * exp(-value / 4) + 0.4 * least(1.0, value / 300))), 4) as s from events), m as (select asset_id, quantile_cont(s, 0.5) as med, count(*) as n from c group by 1)

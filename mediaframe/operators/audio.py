@@ -196,11 +196,17 @@ def beat_confidence(periodicity: Column, agree: Column) -> Column:
     return F.round(F.when(agree.isNull(), base * 0.8).when(agree, base).otherwise(0.0), 3)
 
 
+def has_pulse(bpm: Column, periodicity: Column, gate: float = BEAT_MIN_PERIODICITY) -> Column:
+    """Whether audio has a pulse at all: a tempo whose periodicity reaches the gate; speech and ambience stay below."""
+    return F.coalesce(bpm.isNotNull() & (periodicity >= gate), F.lit(False))
+
+
 def track_beats(env: DataFrame, tempos: DataFrame, fps: float, min_strength: float = 0.02) -> DataFrame:
     """Beats on the tempo grid (asset_id, position in frames, strength): the phase with the most onset energy,
     every grid point moved to the strongest onset within an eighth of a period, refined by a parabola, at least
-    half a period apart. env: asset_id, frame, env; tempos: asset_id, bpm."""
-    tempos = tempos.filter(F.col("bpm").isNotNull())
+    half a period apart. env: asset_id, frame, env; tempos: asset_id, bpm, and with periodicity only assets with a pulse."""
+    pulse = has_pulse(F.col("bpm"), F.col("periodicity")) if "periodicity" in tempos.columns else F.col("bpm").isNotNull()
+    tempos = tempos.filter(pulse)
     n = env.groupBy("asset_id").agg((F.max("frame") + 1).alias("n"))
     t = tempos.join(n, "asset_id").withColumn("period", F.lit(fps * 60.0) / F.col("bpm")).filter(F.col("period") > 1)
     near = scan.ordered_scan(env, ["asset_id"], [F.col("frame")], bucket_of(F.col("frame"), BLOCK), before=scan.lag(F.col("env")), after=scan.lead(F.col("env")))
