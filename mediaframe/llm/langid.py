@@ -17,6 +17,7 @@ and repeated rows are labelled alike, one row each; an empty table gives an empt
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +60,12 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, transitions: np.ndarray) -> None:
         self.labels, self.weights, self.transitions = labels, weights, transitions
 
-    def emissions(self, word: str) -> np.ndarray:
-        """The word's factors, largest one."""
-        score = self.weights[features(word)].sum(axis=0)
-        return np.exp(score - score.max())
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Each word's factors, largest one."""
+        lists = [features(w) for w in words]
+        starts = np.concatenate(([0], np.cumsum([len(f) for f in lists])[:-1]))
+        score = np.add.reduceat(self.weights[[f for found in lists for f in found]], starts, axis=0)
+        return np.exp(score - score.max(axis=1, keepdims=True))
 
 
 def windows(rows: list[tuple[str, str]], labels: list[str], rng) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -214,32 +217,31 @@ def predict(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text
         model = shared.value
         labels, t = model.labels, np.exp(model.transitions - model.transitions.max(initial=0))
         memo: dict[str, int] = {}
-        rows: list[np.ndarray] = []
+        table = np.empty((1024, len(labels)))
 
-        def of(word: str) -> int:
-            memo[word] = at = len(rows)
-            rows.append(model.emissions(word))
-            return at
-
-        def work(part: pa.RecordBatch) -> dict:
+        def known(texts: list[list[str]]) -> np.ndarray:
+            """The rows of ``table`` of all words of ``texts``; new words get theirs together."""
+            nonlocal table
             if len(memo) > MEMO:
                 memo.clear()
-                rows.clear()
-            texts = [words_of(x) for x in texts_of(part, 1)]
-            if not labels:
-                return {"lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts)}
-            get = memo.get
-            index = []
+            start = len(memo)
+            index: list[int] = []
             for words in texts:
-                for w in words:
-                    at = get(w)
-                    index.append(of(w) if at is None else at)
+                for w in set(words).difference(memo):
+                    memo[w] = len(memo)
+                index.extend(map(memo.__getitem__, words))
+            if len(memo) > start:
+                while len(table) < len(memo):
+                    table = np.concatenate((table, np.empty_like(table)))
+                table[start : len(memo)] = model.emissions(list(islice(memo, start, None)))
+            return np.array(index, np.int64)
+
+        def work(part: pa.RecordBatch) -> dict:
+            texts = [words_of(x) for x in texts_of(part, 1)]
             lengths = np.array([len(w) for w in texts], np.int64)
-            if not index:
+            if not labels or not lengths.any():
                 return {"lang_pred": [UNKNOWN] * len(texts), "score": [0.0] * len(texts)}
-            index = np.array(index, np.int64)
-            used, local = np.unique(index, return_inverse=True)
-            mean = mean_posteriors(local, lengths, np.array([rows[i] for i in used.tolist()], np.float64), t)
+            mean = mean_posteriors(known(texts), lengths, table, t)
             best = mean.argmax(axis=1)
             return {
                 "lang_pred": [labels[b] if n else UNKNOWN for b, n in zip(best.tolist(), lengths.tolist())],
