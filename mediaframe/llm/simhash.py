@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, checkpointed, field, map_texts
+from .common import bytes_of, checkpointed, field, map_texts, slices
 
 SEED = 42
 HALF = 32
@@ -195,105 +195,114 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- similarity of word shingles ------------------------------------------------------------------------------
 #
-# At a Jaccard similarity of 0.8 the 64 bits above differ in about ten places, too many for balls within halves.
-# Similar texts are therefore found by a second fingerprint over single words, which few edits hardly move: 128 bits
-# in four segments, listed within balls of radius one as above. All texts with up to 11 of its bits different meet in a
-# segment, most beyond too. What meets is verified by the complete distance of 256-bit fingerprints of the shingles.
-
-SEGMENTS = 4
-MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
-
-
-def majority(parts: set[bytes], wide: bool) -> np.ndarray:
-    """128 majority bits over XXH3 values, with ``wide`` 256 (as many again from the mixed values)."""
-    if not parts:
-        return np.zeros(32 if wide else 16, np.uint8)
-    digest = xxhash.xxh3_128_digest
-    values = np.frombuffer(b"".join(map(digest, sorted(parts))), np.uint64).reshape(-1, 2)
-    if wide:
-        mixed = (values ^ (values >> np.uint64(31))) * MIX
-        values = np.hstack((values, mixed ^ (mixed >> np.uint64(29))))
-    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(bits * 2 > len(values))
-
-
-def wide_fingerprint(text: bytes, words: int) -> tuple[np.ndarray, bytes]:
-    """(four 32-bit segments over the distinct words, 256 bits over the distinct shingles)."""
+# Exact: two texts link when the Jaccard similarity of their shingle sets, compared themselves, reaches the bound.
+# Candidates come from a prefix filter that misses none: sets of n shingles with similarity t share at least t * n, so
+# in any order common to all sets they meet within the first n - t * n + 1. The order puts shingles that are frequent in
+# a sample last; it changes the work, not the result. Each key first offers all its sets to one of them, and what links
+# there joins up; after that only pairs of different components are offered, so that a large group of copies does not
+# list its pairs.
+
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Texts that are read to find frequent shingles, how often one must occur there, and how many are listed at most.
+FREQUENT_TEXTS, FREQUENT, FREQUENT_LISTED = 5000, 5, 200_000
+SLACK = 1e-9
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct 64-bit values of the shingles of ``words`` lower-cased words, sorted; of all words if there are fewer."""
     found = text.lower().split()
-    joined = b" ".join(found)
-    shingles = {joined} if found and len(found) <= words else set()
-    if len(found) > words:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        shingles = {joined[a:b] for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist())}
-    return majority(set(found), False).view(np.uint32), majority(shingles, True).tobytes()
+    if not found:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    if len(found) <= words:
+        return np.array([digest(b" ".join(found))], np.uint64)
+    each = np.fromiter(map(digest, found), np.uint64, len(found))
+    n = len(found) - words + 1
+    value = np.zeros(n, np.uint64)
+    for k in range(words):
+        value = (value ^ each[k : k + n]) * MIX
+        value ^= value >> np.uint64(29)
+    return np.unique(value)
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of 256 that sets of a Jaccard similarity have on average, and half a standard deviation more."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(256 * share + 0.5 * (256 * share * (1 - share)) ** 0.5)
+def prefix_length(size: int, similarity: float) -> int:
+    """How many shingles of a set of ``size`` must hold one of any set that is similar enough."""
+    return size - int(np.ceil(similarity * size - SLACK)) + 1 if size else 0
 
 
-def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) sorted by key: those whose key has more rows than one, with their number."""
-    names = ["key", "node", "n"]
+def frequent_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """Shingles frequent in a sample of the texts, the most frequent last."""
+    step = max(1, docs.count() // FREQUENT_TEXTS)
+    text = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
 
-    def out(keys: np.ndarray, nodes: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
-        many = sizes > 1
-        return pa.RecordBatch.from_arrays([pa.array(keys[many]), nodes.filter(pa.array(many)), pa.array(sizes[many])], names=names)
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                sets = [shingle_set(b, words) for b in bytes_of(part, 0)]
+                found, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["value", "n"])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        first = int(np.searchsorted(keys, keys[-1], side="left"))
-        if first or (held and held[-1].column(0)[0].as_py() != keys[-1]):
-            whole = pa.Table.from_batches([*held, batch.slice(0, first)]).combine_chunks()
-            k = whole.column(0).to_numpy()
-            _, inverse, sizes = np.unique(k, return_inverse=True, return_counts=True)
-            nodes = whole.column(1).combine_chunks()
-            yield out(k, nodes.chunk(0) if isinstance(nodes, pa.ChunkedArray) else nodes, sizes[inverse].astype(np.int64))
-            held = []
-        held.append(batch.slice(first))
-    if held:
-        whole = pa.Table.from_batches(held).combine_chunks()
-        k = whole.column(0).to_numpy()
-        nodes = whole.column(1).combine_chunks()
-        yield out(k, nodes.chunk(0) if isinstance(nodes, pa.ChunkedArray) else nodes, np.full(len(k), len(k), np.int64))
-
-
-def wide_forest(bits: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning star for each group of rows of ``bits`` (n, 4 uint64) connected by at most ``most`` differing bits."""
-    free, edges = np.arange(len(bits)), []
-    while len(free):
-        root, front, free = free[0], free[:1], free[1:]
-        while len(front) and len(free):
-            step, front = front[:64], front[64:]
-            near = (np.bitwise_count(bits[step][:, None] ^ bits[free][None]).sum(axis=2) <= most).any(axis=0)
-            edges.extend((root, j) for j in free[near].tolist())
-            front, free = np.concatenate((front, free[near])), free[~near]
-    return edges
+    counts = text.mapInArrow(values, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    top = counts.orderBy(F.desc("n"), "value").limit(FREQUENT_LISTED).collect()
+    return np.array([r.value for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def _wide_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, node, bits) sorted by tile: links (u, v) inside each tile."""
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, place) sorted by key and node: those whose key has more rows than one, with the first node of
+    the key and the row's number in it. Holds one batch and one row, however many rows a key has."""
+    names = ["key", "node", "place", "first", "nth"]
+    last: tuple[int, int, int] | None = None
+    first, nth = 0, 0
 
-    def linked(table: pa.Table) -> pa.RecordBatch:
-        keys = table.column(0).to_numpy()
-        nodes = table.column(1).combine_chunks()
-        nodes = nodes.chunk(0) if isinstance(nodes, pa.ChunkedArray) else nodes
-        bits = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint64).reshape(-1, 4)
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
-        two = starts[ends - starts == 2]
-        near = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1) <= most
-        pairs = [(s, s + 1) for s in two[near].tolist()]
-        for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist()):
-            pairs += [(s + i, s + j) for i, j in wide_forest(bits[s:e], most)]
-        at = np.array(pairs, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([nodes.take(pa.array(at[:, 0])), nodes.take(pa.array(at[:, 1]))], names=["u", "v"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, nodes, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if last is not None:
+            keys, nodes, places = (np.concatenate(([x], y)) for x, y in zip(last, (keys, nodes, places)))
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        at = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        numbers = np.arange(len(keys)) - at[run]
+        firsts = nodes[at][run]
+        if last is not None:
+            numbers[run == 0] += nth
+            firsts[run == 0] = first
+        # the last row waits for the next batch, which tells whether it is alone
+        many = np.concatenate((~new[1:], [False])) | (numbers > 0)
+        many[-1] = False
+        last, first, nth = (int(keys[-1]), int(nodes[-1]), int(places[-1])), int(firsts[-1]), int(numbers[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (keys, nodes, places, firsts, numbers)], names=names)
+    if last is not None and nth:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*last, first, nth)], names=names)
+
+
+def _offered(table: pa.Table, similarity: float) -> np.ndarray:
+    """(u, v) of rows (tile, node, place, group) sorted by tile: pairs of one tile and different groups whose sizes and places allow
+    the similarity. The bound on places holds at the first shared key of a pair, so each pair passes at one at least."""
+    tiles, nodes, places, groups = (table.column(i).to_numpy() for i in range(4))
+    size, place = places >> 32, places & 0xFFFFFFFF
+    left = size - place
+    cuts = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
+    out = []
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tiles)]):
+        for i in range(s, e, 256):
+            a, b = slice(i, min(i + 256, e)), slice(i, e)
+            needed = similarity / (1 + similarity) * (size[a, None] + size[None, b]) - SLACK
+            good = (groups[a, None] != groups[None, b]) & (nodes[a, None] != nodes[None, b]) & (np.minimum(left[a, None], left[None, b]) >= needed)
+            good &= np.minimum(size[a, None], size[None, b]) >= similarity * np.maximum(size[a, None], size[None, b]) - SLACK
+            x, y = np.nonzero(good)
+            out.append(np.stack((nodes[a][x], nodes[b][y]), axis=1))
+    pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
+
+
+def offered_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, node, place, group) sorted by tile: the pairs (u, v) to compare."""
+
+    def out(table: pa.Table) -> pa.RecordBatch:
+        pairs = _offered(table, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -302,47 +311,86 @@ def _wide_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         first = int(np.searchsorted(keys, keys[-1], side="left"))
         if first or (held and held[-1].column(0)[0].as_py() != keys[-1]):
-            yield linked(pa.Table.from_batches([*held, batch.slice(0, first)]).combine_chunks())
+            yield out(pa.Table.from_batches([*held, batch.slice(0, first)]))
             held = []
         held.append(batch.slice(first))
     if held:
-        yield linked(pa.Table.from_batches(held).combine_chunks())
+        yield out(pa.Table.from_batches(held))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (u, v) whose ``sets`` (node, members) have the Jaccard similarity, counted on the sets."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common) - SLACK).select("u", "v")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """(id, component_id): texts whose sets of ``words``-word shingles have about ``similarity`` or more in common,
+    """(id, component_id): texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``,
     directly or over others, share the smallest id. Rows without id are left out."""
+    named = docs.where(F.col(id_col).isNotNull())
+    frequent = frequent_shingles(named, text_col, words)
+    order = np.argsort(frequent)
+    shared_list = docs.sparkSession.sparkContext.broadcast((frequent[order], order + 1))
 
     def make():
+        listed, rank = shared_list.value
+
+        def prefix(values: np.ndarray) -> np.ndarray:
+            n = prefix_length(len(values), similarity)
+            if not len(listed) or not n:
+                return values[:n]
+            at = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
+            late = np.where(listed[at] == values, rank[at], 0)
+            return values[np.argsort(late, kind="stable")[:n]]
+
         def work(part: pa.RecordBatch) -> dict:
-            rows = [wide_fingerprint(b, words) for b in bytes_of(part, 1)]
-            out = {f"s{i}": [int(s[i]) for s, _ in rows] for i in range(SEGMENTS)}
-            return out | {"bits": pa.array([b for _, b in rows], pa.binary())}
+            sets = [shingle_set(b, words) for b in bytes_of(part, 1)]
+            return {"node": [_node(s) for s in sets], "size": [len(s) for s in sets], "keys": pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64()))}
 
         return work
 
-    fields = [field(f"s{i}", "bigint") for i in range(SEGMENTS)] + [field("bits", "binary")]
-    segments = [f"s{i}" for i in range(SEGMENTS)]
-    marked = checkpointed(map_texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col, make, fields).withColumnRenamed(id_col, "__id"))
-    nodes = checkpointed(marked.groupBy(*segments, "bits").agg(F.min("__id").alias("node")))
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(HALF)))
-    balls = F.concat(*(F.transform(masks, _listed(i)) for i in range(SEGMENTS)))
-    kind = nodes.schema["node"].dataType.simpleString()
-    listed = nodes.select(F.explode(balls).alias("key"), "node")
-    shared = listed.repartition("key").sortWithinPartitions("key").mapInArrow(met, f"key bigint, node {kind}, n bigint")
-    parts = F.ceil(F.col("n") / tile).cast("bigint")
-    own = F.pmod(F.xxhash64("node"), parts)
-    tiles = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda j: F.xxhash64(F.col("key"), F.least(j, own), F.greatest(j, own)))
-    rows = shared.join(nodes.select("node", "bits"), "node").select(F.explode(tiles).alias("tile"), "node", "bits")
-    most = most_bits(similarity)
-    edges = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: _wide_links(it, most), f"u {kind}, v {kind}")
-    found = components(edges)
-    named = nodes.join(found.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(*segments, "bits", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(named, [*segments, "bits"]).select(F.col("__id").alias(id_col), "component_id")
-
-
-def _listed(i: int):
-    return lambda m: F.col(f"s{i}").bitwiseXOR(m).bitwiseOR(F.lit(i << HALF))
+    fields = [field("node", "bigint"), field("size", "bigint"), field("keys", "array<bigint>")]
+    marked = checkpointed(map_texts(named, id_col, text_col, make, fields).withColumnRenamed(id_col, "__id"))
+    keys = marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    listed = keys.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.shiftleft("size", 32) + F.col("at")).alias("place"))
+    kept = "key bigint, node bigint, place bigint, first bigint, nth bigint"
+    shared = checkpointed(listed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared_keys, kept))
+
+    least = marked.groupBy("node").agg(F.min("__id").alias("least_id"))
+    wanted = shared.select("node").distinct().join(least, "node").select("least_id").distinct()
+    texts = named.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(wanted, F.col("__id") == F.col("least_id"), "left_semi")
+
+    def members():
+        def work(part: pa.RecordBatch) -> dict:
+            sets = [shingle_set(b, words) for b in bytes_of(part, 1)]
+            return {"node": [_node(s) for s in sets], "members": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+
+        return work
+
+    made = map_texts(texts, "__id", "__t", members, [field("node", "bigint"), field("members", "array<bigint>")])
+    sets = checkpointed(made.select("node", "members").dropDuplicates(["node"]))
+
+    stars = shared.where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
+    links = checkpointed(similar_pairs(stars, sets, similarity))
+    grouped = checkpointed(components(links))
+    rows = shared.join(grouped, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("group"), F.expr(f"nth div {tile}").alias("block"))
+    mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("block").alias("blocks")).where("low < high").select("key", "blocks")
+    rows = rows.join(mixed, "key")
+    tiles = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks")), lambda j: F.xxhash64(F.col("key"), F.least(j, F.col("block")), F.greatest(j, F.col("block"))))
+    rows = rows.select(F.explode(tiles).alias("tile"), "node", "place", "group")
+    pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: offered_pairs(it, similarity), "u bigint, v bigint").distinct()
+    more = similar_pairs(pairs, sets, similarity)
+
+    ends = links.unionByName(more).join(least.select(F.col("node").alias("u"), F.col("least_id").alias("a")), "u").join(least.select(F.col("node").alias("v"), F.col("least_id").alias("b")), "v")
+    found = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    of_node = least.join(found.withColumnRenamed("node", "__n"), F.col("least_id") == F.col("__n"), "left").select("node", F.coalesce("root", "least_id").alias("component_id"))
+    return marked.select("__id", "node").join(of_node, "node").select(F.col("__id").alias(id_col), "component_id")
+
+
+def _node(values: np.ndarray) -> int:
+    """A set's name: a signed 64-bit hash of its sorted members."""
+    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -180,6 +181,51 @@ def test_similar_texts_share_a_component(spark):
         assert all(groups[i] == groups[c] for i, c in got.items())
 
 
+def test_similar_texts_equal_exact_components(spark):
+    """Copies with a block appended or words changed, around and under 0.8: the groups are those of brute force."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for size in (20, 60, 150, 400, 800):
+        for wanted in (0.75, 0.79, 0.8, 0.805, 0.82, 0.84, 0.86, 0.9):
+            base = [word() for _ in range(size)]
+            more = int(round((size - 4) / wanted)) - (size - 4)
+            edits = max(1, int(round((size - 4) * (1 - wanted) / (1 + wanted) / 5)))
+            changed = list(base)
+            for i in rng.choice(size, edits, replace=False):
+                changed[i] = word()
+            texts += [base, base + [word() for _ in range(more)], changed]
+    # one common line at the end of many unlike texts, more than a tile of them
+    line = [word() for _ in range(15)]
+    texts += [[word() for _ in range(8)] + line for _ in range(30)]
+    texts = dict(enumerate(map(" ".join, texts)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    root = {i: i for i in texts}
+    near = 0
+    for a in texts:
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                near += 1
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    assert near > 40
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for tile in (4, simhash.TILE):
+        assert {r.doc_id: r.component_id for r in simhash.similar_components(df, tile=tile).collect()} == root
+
+
+def test_keys_over_batches():
+    """Runs of a key over any cut into batches give the rows that are not alone, numbered."""
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 30, 60))
+    nodes = np.arange(60) * 7
+    want = [(k, n, n + 1, int(nodes[keys == k][0]), int(np.flatnonzero(nodes[keys == k] == n)[0])) for k, n in zip(keys.tolist(), nodes.tolist()) if (keys == k).sum() > 1]
+    for size in (1, 2, 7, 60):
+        whole = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(nodes + 1)], names=["key", "node", "place"])
+        got = [tuple(r.values()) for b in simhash.shared_keys(whole.slice(i, size) for i in range(0, 60, size)) for r in b.to_pylist()]
+        assert got == want
+
+
 # --- quality ------------------------------------------------------------------------------------------------
 
 
