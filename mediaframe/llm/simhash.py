@@ -198,14 +198,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Exact: two texts link when the Jaccard similarity of their shingle sets, compared themselves, reaches the bound.
 # Candidates come from a prefix filter that misses none: sets of n shingles with similarity t share at least t * n, so
 # in any order common to all sets they meet within the first n - t * n + 1. The order puts shingles that are frequent in
-# a sample last; it changes the work, not the result. Each key first offers all its sets to one of them, and what links
-# there joins up; after that only pairs of different components are offered, so that a large group of copies does not
+# a sample last; it changes the work, not the result. Each key first offers all its sets to one of them, in a few turns,
+# and what links there joins up; after that only pairs of different components are offered, so that a large group of copies does not
 # list its pairs.
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Texts that are read to find frequent shingles, how often one must occur there, and how many are listed at most.
 FREQUENT_TEXTS, FREQUENT, FREQUENT_LISTED = 5000, 5, 200_000
 SLACK = 1e-9
+#: Cells of a set's sketch, which rules out most unlike pairs before their sets are compared.
+SKETCH, CELL = 128, np.uint32
+#: Turns in which a key's sets are offered to one of them before all pairs are.
+STARS = 3
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -318,11 +322,57 @@ def offered_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
         yield out(pa.Table.from_batches(held))
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (u, v) whose ``sets`` (node, members) have the Jaccard similarity, counted on the sets."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common) - SLACK).select("u", "v")
+def sketch(values: np.ndarray) -> bytes:
+    """How many members of a set fall in each of ``SKETCH`` cells."""
+    return np.bincount((values >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH).astype(CELL).tobytes()
+
+
+def possible_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (u, v, a, b) whose sketches allow the similarity: no more members are common than the cells have in common."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), CELL).reshape(-1, SKETCH).astype(np.int64) for i in (2, 3))
+        common = np.minimum(a, b).sum(axis=1)
+        good = pa.array(common >= similarity / (1 + similarity) * (a.sum(axis=1) + b.sum(axis=1)) - SLACK)
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["u", "v"])
+
+
+def with_ends(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (u, v) with ``column`` of both nodes as a and b."""
+    return pairs.join(of.select(F.col("node").alias("u"), F.col(column).alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col(column).alias("b")), "v").select("u", "v", "a", "b")
+
+
+class Sets:
+    """The shingle sets of nodes, made from their texts when a pair first needs them."""
+
+    def __init__(self, texts: DataFrame, least: DataFrame, sketches: DataFrame, words: int, similarity: float) -> None:
+        self.texts, self.least, self.sketches, self.words, self.similarity = texts, least, sketches, words, similarity
+        self.made: DataFrame | None = None
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` (u, v) that have the Jaccard similarity, counted on the sets."""
+        similarity, words = self.similarity, self.words
+        left = checkpointed(with_ends(pairs, self.sketches, "sketch").mapInArrow(lambda it: possible_pairs(it, similarity), "u bigint, v bigint"))
+        nodes = left.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        if self.made is not None:
+            nodes = nodes.join(self.made.select("node"), "node", "left_anti")
+        wanted = checkpointed(nodes.join(self.least, "node").select("least_id").distinct())
+        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        texts = self.texts.join(small, F.col("__id") == F.col("least_id"), "left_semi")
+
+        def members():
+            def work(part: pa.RecordBatch) -> dict:
+                sets = [shingle_set(b, words) for b in bytes_of(part, 1)]
+                return {"node": [_node(s) for s in sets], "members": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+
+            return work
+
+        new = checkpointed(map_texts(texts, "__id", "__t", members, [field("node", "bigint"), field("members", "array<bigint>")]).select("node", "members"))
+        self.made = new if self.made is None else self.made.unionByName(new)
+        common = F.size(F.array_intersect("a", "b"))
+        both = with_ends(left, self.made.dropDuplicates(["node"]), "members")
+        return checkpointed(both.where(common >= similarity * (F.size("a") + F.size("b") - common) - SLACK).select("u", "v"))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
@@ -346,11 +396,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         def work(part: pa.RecordBatch) -> dict:
             sets = [shingle_set(b, words) for b in bytes_of(part, 1)]
-            return {"node": [_node(s) for s in sets], "size": [len(s) for s in sets], "keys": pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64()))}
+            return {"node": [_node(s) for s in sets], "size": [len(s) for s in sets], "keys": pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64())), "sketch": [sketch(s) for s in sets]}
 
         return work
 
-    fields = [field("node", "bigint"), field("size", "bigint"), field("keys", "array<bigint>")]
+    fields = [field("node", "bigint"), field("size", "bigint"), field("keys", "array<bigint>"), field("sketch", "binary")]
     marked = checkpointed(map_texts(named, id_col, text_col, make, fields).withColumnRenamed(id_col, "__id"))
     keys = marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
     listed = keys.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.shiftleft("size", 32) + F.col("at")).alias("place"))
@@ -358,29 +408,29 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = checkpointed(listed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared_keys, kept))
 
     least = marked.groupBy("node").agg(F.min("__id").alias("least_id"))
-    wanted = shared.select("node").distinct().join(least, "node").select("least_id").distinct()
-    texts = named.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(wanted, F.col("__id") == F.col("least_id"), "left_semi")
-
-    def members():
-        def work(part: pa.RecordBatch) -> dict:
-            sets = [shingle_set(b, words) for b in bytes_of(part, 1)]
-            return {"node": [_node(s) for s in sets], "members": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
-
-        return work
-
-    made = map_texts(texts, "__id", "__t", members, [field("node", "bigint"), field("members", "array<bigint>")])
-    sets = checkpointed(made.select("node", "members").dropDuplicates(["node"]))
+    offered = shared.select("node").distinct()
+    sketches = checkpointed(marked.select("node", "sketch").join(offered, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")))
+    sets = Sets(named.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), least, sketches, words, similarity)
 
     stars = shared.where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    links = checkpointed(similar_pairs(stars, sets, similarity))
-    grouped = checkpointed(components(links))
-    rows = shared.join(grouped, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("group"), F.expr(f"nth div {tile}").alias("block"))
-    mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("block").alias("blocks")).where("low < high").select("key", "blocks")
-    rows = rows.join(mixed, "key")
+    links = sets.similar(stars)
+    for turn in range(1, STARS + 1):
+        # each turn offers a key's sets to another one of them, until nothing links; then all pairs that are left
+        rows = shared.join(components(links), "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("group"), F.expr(f"nth div {tile}").alias("block"))
+        lead = F.min_by(F.struct("node", "group"), F.xxhash64("node", F.lit(turn)))
+        mixed = rows.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("block").alias("blocks"), lead.alias("lead"))
+        rows = checkpointed(rows.join(mixed.where("low < high").select("key", "blocks", "lead"), "key"))
+        if turn == STARS:
+            break
+        stars = rows.where("group != lead.group").select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
+        found = sets.similar(stars)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
     tiles = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks")), lambda j: F.xxhash64(F.col("key"), F.least(j, F.col("block")), F.greatest(j, F.col("block"))))
     rows = rows.select(F.explode(tiles).alias("tile"), "node", "place", "group")
     pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: offered_pairs(it, similarity), "u bigint, v bigint").distinct()
-    more = similar_pairs(pairs, sets, similarity)
+    more = sets.similar(pairs)
 
     ends = links.unionByName(more).join(least.select(F.col("node").alias("u"), F.col("least_id").alias("a")), "u").join(least.select(F.col("node").alias("v"), F.col("least_id").alias("b")), "v")
     found = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
