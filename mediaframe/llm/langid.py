@@ -69,13 +69,22 @@ class Model:
 
 
 def windows(rows: list[tuple[str, str]], labels: list[str], rng) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, word numbers, label numbers) of windows of ``LENGTH`` words."""
+    """(distinct words, word numbers, label numbers) of windows of ``LENGTH`` words. Shorter texts of one language are
+    joined until they fill a window; what is left over is repeated."""
     number: dict[str, int] = {}
-    texts = [[] for _ in labels]
+    texts, short = [[] for _ in labels], [[] for _ in labels]
     for text, lang in rows:
         numbered = [number.setdefault(w, len(number)) for w in words_of(text)]
+        k = labels.index(lang)
+        if len(numbered) < LENGTH:
+            numbered = short[k] = short[k] + numbered
         if len(numbered) >= LENGTH:
-            texts[labels.index(lang)].append(np.array(numbered, np.int32))
+            texts[k].append(np.array(numbered, np.int32))
+            if numbered is short[k]:
+                short[k] = []
+    for k, left in enumerate(short):
+        if left:
+            texts[k].append(np.resize(np.array(left, np.int32), LENGTH))
     usable = [k for k, t in enumerate(texts) if t]
     xs, ys = np.zeros((WINDOWS, LENGTH), np.int32), np.zeros((WINDOWS, LENGTH), np.int8)
     for i in range(WINDOWS if usable else 0):
@@ -200,11 +209,13 @@ def mean_posteriors(index: np.ndarray, lengths: np.ndarray, emissions: np.ndarra
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, size: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, language) of the ``size`` documents of each language with the least hash of their id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull()).distinct()
+    """(text, language) of the ``size`` documents of each language with the least hash of their id, out of those whose
+    text has a letter."""
+    usable = docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
+    rows = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull()).distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = rows.withColumn("nth", nth).where(F.col("nth") <= size).select("id", F.col("lang").alias("chosen_lang"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull())
+    texts = usable.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     found = texts.join(F.broadcast(chosen), (texts.id == chosen.id) & (texts.lang == chosen.chosen_lang)).select("text", "chosen_lang").collect()
     return sorted((r[0], r[1]) for r in found)
 

@@ -451,6 +451,19 @@ def test_languages_odd(odd, empty):
     assert langid.predict(empty, learn).collect() == []
 
 
+def test_languages_of_short_texts(spark):
+    """A language with short texts only is predicted, and texts without letters take no place in the sample."""
+    rng = np.random.default_rng(8)
+    say = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    learn = [(i, say("abcde", 40), "aa") for i in range(30)] + [(100 + i, say("vwxyz", 3), "zz") for i in range(30)]
+    learn += [(1000 + i, [None, "", "12 34"][i % 3], "zz") for i in range(300)]
+    df = spark.createDataFrame(learn, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, say("abcde", 30)), (2, say("vwxyz", 30)), (3, say("vwxyz", 2))], "doc_id long, text string")
+    got = rows(langid.predict(asked, df, size=20))
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["aa", "zz", "zz"]
+    assert len(langid.sample(df, "doc_id", "text", "lang", 20)) == 40
+
+
 # --- hosts --------------------------------------------------------------------------------------------------
 
 
