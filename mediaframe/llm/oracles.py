@@ -145,4 +145,81 @@ from v left join allow_{last} a on v.host = a.host left join block_{last} b on v
     )
 
 
-ORACLES = {"op5_secrets": secrets_sql(), "op7_rules": rules_sql(), "op9_hosts": hosts_sql(), "op10_pii": pii_sql()}
+def search_sql() -> str:
+    term = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+    words = lambda text: f"unnest(list_transform(regexp_extract_all(coalesce({text}, ''), '{term}'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))"
+    return f"""
+with d as (
+  select row_number() over () as r, doc_id, text from documents
+), dt as (
+  select r, doc_id, {words("text")} as term from d
+), n as (
+  select r, count(*) as n from dt group by r
+), whole as (
+  select count(*) as nd, sum(n)::bigint as l from n
+), it as (
+  select item_id, term, count(*) as q from (select item_id, {words("text")} as term from benchmark) group by item_id, term
+), tf as (
+  select r, doc_id, term, count(*) as tf from dt where term in (select term from it) group by r, doc_id, term
+), w as (
+  select term, floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)))::bigint as w from (select term, count(*) as df from tf group by term), whole
+), s as (
+  select item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))))::bigint as score
+  from it join tf using (term) join w using (term) join n using (r), whole group by item_id, r, doc_id
+), k as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0
+)
+select item_id, rank, doc_id, score from k where rank <= 10
+"""
+
+
+def audit_sql() -> str:
+    return r"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), f as (
+  select part, doc_id,
+    (case when len(ws) < 100 then 1 else 0 end) | (case when 100 * len(list_distinct(ws)) < 80 * len(ws) then 2 else 0 end)
+    | (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 4 else 0 end)
+    | (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end)
+    | (case when coalesce(doc_id > min(doc_id) over (partition by t), false) then 16 else 0 end) as mask
+  from d
+), l as (
+  select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id
+), c as (
+  select part, mask, count(*) as n, count(*) filter (where good) as g, count(*) filter (where toxic) as x
+  from f left join l using (doc_id) group by part, mask
+), letters as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as a
+), orders as (
+  select a.a || b.a || c.a || d.a || e.a as o from letters a, letters b, letters c, letters d, letters e
+  where length(a.a || b.a || c.a || d.a || e.a) = len(list_distinct([a.a, b.a, c.a, d.a, e.a]))
+), steps as (
+  select o, step, 1 << (ascii(substr(o, step, 1)) - 65) as bit,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(o, i::int, 1)) - 65))) as before
+  from orders, (select unnest(range(1, 6))::int as step)
+), r as (
+  select part, o, step, bit, coalesce(before, 0)::bigint as before,
+    sum(case when mask & (coalesce(before, 0)::bigint | bit) = 0 then n else 0 end) as kept,
+    sum(case when mask & coalesce(before, 0)::bigint = 0 and mask & bit <> 0 then n else 0 end) as removed,
+    sum(case when mask & coalesce(before, 0)::bigint <> 0 and mask & bit <> 0 then n else 0 end) as redundant,
+    sum(case when mask = bit then n else 0 end) as unique_fails,
+    sum(case when mask & coalesce(before, 0)::bigint = 0 and mask & bit <> 0 then g else 0 end) as good_lost,
+    sum(case when mask & coalesce(before, 0)::bigint = 0 and mask & bit <> 0 then x else 0 end) as toxic_lost
+  from c, steps group by all
+)
+select part, o as filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, bit))::bigint as shapley
+from r
+"""
+
+
+ORACLES = {
+    "op5_secrets": secrets_sql(),
+    "op7_rules": rules_sql(),
+    "op9_hosts": hosts_sql(),
+    "op10_pii": pii_sql(),
+    "op11_search": search_sql(),
+    "op12_audit": audit_sql(),
+}

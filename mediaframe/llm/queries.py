@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hosts, html, langid, pii, quality, rules, secrets, simhash
+from . import audit, bpe, decontam, hosts, html, langid, packing, pii, quality, rules, search, secrets, simhash
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -19,6 +19,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary_path() -> str:
+    """The installed byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -92,3 +99,21 @@ def op9_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data and disclosing terms."""
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of the five filters, step by step, per language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences."""
+    return packing.digest(table(spark, sf_dir, "documents"), byte_vocabulary_path())
