@@ -207,9 +207,24 @@ def best_of_tasks(vectors: DataFrame, block: Block, segments: np.ndarray, least:
     return vectors.sortWithinPartitions("bucket", F.desc("norm")).mapInArrow(run, "item bigint, __id bigint, score bigint")
 
 
-def ranked(rows: DataFrame, by: list[str], top: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), F.col("__id").asc_nulls_last())
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+def merged(rows: DataFrame, top: int) -> DataFrame:
+    """(item, __id, score, rank) of the best rows of all tasks. The lists of one item are first cut down in ``SALTS``
+    parts, so no task gets the lists of all tasks."""
+
+    def ranked(part: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), F.col("__id").asc_nulls_last())
+        return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", "score"), F.lit(SALTS)))
+    return ranked(ranked(salted, ["item", "__salt"]).drop("__salt", "rank"), ["item"])
+
+
+def longest(vectors: DataFrame, least: int = MOST_VECTORS) -> DataFrame:
+    """The first buckets, as many as hold ``least`` vectors; there are as many rows to count as buckets."""
+    sizes = sorted((r["bucket"], r["count"]) for r in vectors.groupBy("bucket").count().collect())
+    seen = np.cumsum([n for _, n in sizes])
+    last = int(np.searchsorted(seen, least)) if sizes else 0
+    return vectors.where(F.col("bucket") <= (sizes[min(last, len(sizes) - 1)][0] if sizes else 0))
 
 
 def search_block(docs: DataFrame, block: Block, id_col: str, text_col: str, top: int) -> DataFrame:
@@ -219,16 +234,12 @@ def search_block(docs: DataFrame, block: Block, id_col: str, text_col: str, top:
     counts = document_counts(found, len(block.terms))
     weights = np.array([weight(whole.docs, int(df)) for df in counts], np.int64)
     vectors = impact_vectors(found, weights, whole.docs, max(whole.terms, 1))
-    # the longest vectors of all, one bucket, give every task a threshold to start from
-    head = vectors.orderBy(F.desc("norm")).limit(MOST_VECTORS)
-    segments = segments_of(counts)
-    first = best_of_tasks(head, block, segments, [1] * len(block.columns), top)
-    least = [1] * len(block.columns)
-    for row in first.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == top).collect():
-        least[row.item] = row.least
-    rows = best_of_tasks(vectors, block, segments, least, top)
-    rows = ranked(rows.withColumn("__salt", F.pmod(F.xxhash64("__id", "score"), F.lit(SALTS))), ["item", "__salt"], top)
-    return ranked(rows.drop("__salt", "rank"), ["item"], top).select("item", "rank", "__id", "score")
+    # the longest vectors, searched first where they lie, give every task thresholds to start from
+    segments, least = segments_of(counts), [1] * len(block.columns)
+    first = merged(best_of_tasks(longest(vectors), block, segments, least, top), top)
+    for row in first.where(F.col("rank") == top).collect():
+        least[row.item] = row.score
+    return merged(best_of_tasks(vectors, block, segments, least, top), top).select("item", "rank", "__id", "score")
 
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", top: int = TOP, block_terms: int = BLOCK_TERMS) -> DataFrame:
