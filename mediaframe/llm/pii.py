@@ -226,9 +226,14 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ),
         lambda a: F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, F.length("text")))),
     )
-    text = F.array_join(cut, "")
-    text = F.when(F.size("terms") > 0, F.regexp_replace(text, term_pattern(F.col("terms")), "[TERM]")).otherwise(text)
-    held = held.withColumn("text", text)
-    held = held.withColumn("text", F.when(F.size("gone") > 0, F.regexp_replace("text", term_pattern(F.col("gone")), "")).otherwise(F.col("text")))
+    # every second piece stands for an entity and stays as it is
+    none = F.array().cast("array<string>")
+    held = held.withColumns({"terms": F.coalesce("terms", none), "gone": F.coalesce("gone", none)})
+
+    def replaced(piece: Column) -> Column:
+        piece = F.when(F.size("terms") > 0, F.regexp_replace(piece, term_pattern(F.col("terms")), F.lit("[TERM]"))).otherwise(piece)
+        return F.when(F.size("gone") > 0, F.regexp_replace(piece, term_pattern(F.col("gone")), F.lit(""))).otherwise(piece)
+
+    held = held.withColumn("text", F.array_join(F.transform(cut, lambda piece, i: F.when(i % 2 == 0, replaced(piece)).otherwise(piece)), ""))
     out = held.select(*(F.col("text" if c == text_col else f"__c{i}").alias(c) for i, c in enumerate(names)))
     return out.unionByName(clean.select(*(F.col(f"__c{i}").alias(c) for i, c in enumerate(names))))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bytes_of, field, map_texts, slices
 
@@ -129,20 +130,24 @@ def ablation(rows: DataFrame, policy: str = POLICY) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, text_col: str = "text", policy: str = POLICY, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose text passes the policy. Each slice of rows is measured
-    where it lies, so nothing is shuffled and repeated or null ids don't matter."""
-    rows = docs.columns.index(text_col)
-    mask = POLICIES[policy]
-    judged = [compile(condition, name, "eval") for name, condition in RULES if BIT[name] & mask]
+def with_failures(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs``, its columns named by position (c0, c1, ..), with the ledger's columns beside them. Rows are measured
+    where they lie, so nothing is shuffled and repeated or null ids don't matter."""
+    at = docs.columns.index(text_col)
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    schema = T.StructType([*own.schema.fields, *(field(m, "bigint") for m in MEASURES)])
 
     def run(batches):
         for batch in batches:
-            good = []
-            for part in slices(batch, rows):
-                for b in bytes_of(part, rows):
-                    seen = dict(zip(MEASURES, measure(b, window)))
-                    good.append(not any(eval(code, {}, seen) for code in judged))
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            for part in slices(batch, at):
+                seen = zip(*(measure(b, window) for b in bytes_of(part, at)))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(m, pa.int64()) for m in seen)], names=schema.names)
+
+    return own.mapInArrow(run, schema).withColumn("failed", failed_bits())
+
+
+def clean(docs: DataFrame, text_col: str = "text", policy: str = POLICY, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose ledger entry passes the policy's mask."""
+    names = docs.columns
+    rows = with_failures(docs, text_col, window).where(passes(policy))
+    return rows.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)

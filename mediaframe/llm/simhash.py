@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, checkpointed, field, map_texts, slices
@@ -206,8 +206,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Texts that are read to find frequent shingles, how often one must occur there, and how many are listed at most.
 FREQUENT_TEXTS, FREQUENT, FREQUENT_LISTED = 5000, 5, 200_000
 SLACK = 1e-9
-#: Cells of a set's sketch, which rules out most unlike pairs before their sets are compared.
-SKETCH, CELL = 128, np.uint32
+#: A set's sketch has the least power of two of cells that holds this many members a cell or fewer.
+CELL_MEMBERS, CELL = 4, np.uint8
 #: Turns in which a key's sets are offered to one of them before all pairs are.
 STARS = 3
 
@@ -323,61 +323,102 @@ def offered_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """How many members of a set fall in each of ``SKETCH`` cells."""
-    return np.bincount((values >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH).astype(CELL).tobytes()
+    """How many members of a set fall in each cell; empty, which rules nothing out, where a count is too large to note."""
+    cells = 1 << max(0, int(len(values) - 1) // CELL_MEMBERS).bit_length()
+    counts = np.bincount((values >> np.uint64(32)).astype(np.int64) % cells, minlength=cells)
+    return counts.astype(CELL).tobytes() if counts.max(initial=0) <= np.iinfo(CELL).max else b""
+
+
+def possible(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sketches allow the similarity: no more members are common than the cells have in common. The longer
+    sketch is folded to the cells of the shorter one, as both counts are powers of two."""
+    if not a or not b:
+        return True
+    short, long = sorted((np.frombuffer(a, CELL).astype(np.int64), np.frombuffer(b, CELL).astype(np.int64)), key=len)
+    common = np.minimum(short, long.reshape(-1, len(short)).sum(axis=0)).sum()
+    return bool(common >= similarity / (1 + similarity) * (short.sum() + long.sum()) - SLACK)
 
 
 def possible_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (u, v, a, b) whose sketches allow the similarity: no more members are common than the cells have in common."""
+    """Rows (u, v, a, b) whose sketches allow the similarity."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), CELL).reshape(-1, SKETCH).astype(np.int64) for i in (2, 3))
-        common = np.minimum(a, b).sum(axis=1)
-        good = pa.array(common >= similarity / (1 + similarity) * (a.sum(axis=1) + b.sum(axis=1)) - SLACK)
+        good = pa.array([possible(a, b, similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["u", "v"])
 
 
+def compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (u, part, v, members) sorted so that u's own set, without v, comes before those of its pairs: the pairs
+    with the Jaccard similarity. Holds one batch and one set."""
+    lead, own = None, np.zeros(0, np.int64)
+    for batch in batches:
+        left, right = [], []
+        for u, v, members in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            found = np.frombuffer(members, np.int64)
+            if v is None:
+                lead, own = u, found
+                continue
+            if lead != u:
+                raise ValueError("a set is missing")
+            common = len(np.intersect1d(own, found, assume_unique=True))
+            if common >= similarity * (len(own) + len(found) - common) - SLACK:
+                left.append(u)
+                right.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["u", "v"])
+
+
 def with_ends(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     """``pairs`` (u, v) with ``column`` of both nodes as a and b."""
     return pairs.join(of.select(F.col("node").alias("u"), F.col(column).alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col(column).alias("b")), "v").select("u", "v", "a", "b")
 
 
 class Sets:
-    """The shingle sets of nodes, made from their texts when a pair first needs them."""
+    """The shingle sets of nodes, made from their texts for the pairs that need them."""
 
-    def __init__(self, texts: DataFrame, least: DataFrame, sketches: DataFrame, words: int, similarity: float) -> None:
-        self.texts, self.least, self.sketches, self.words, self.similarity = texts, least, sketches, words, similarity
-        self.made: DataFrame | None = None
+    def __init__(self, texts: DataFrame, least: DataFrame, sketches: DataFrame, words: int, similarity: float, tile: int) -> None:
+        self.texts, self.least, self.sketches, self.words, self.similarity, self.tile = texts, least, sketches, words, similarity, tile
 
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """The rows of ``pairs`` (u, v) that have the Jaccard similarity, counted on the sets."""
-        similarity, words = self.similarity, self.words
-        left = checkpointed(with_ends(pairs, self.sketches, "sketch").mapInArrow(lambda it: possible_pairs(it, similarity), "u bigint, v bigint"))
-        nodes = left.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        if self.made is not None:
-            nodes = nodes.join(self.made.select("node"), "node", "left_anti")
-        wanted = checkpointed(nodes.join(self.least, "node").select("least_id").distinct())
-        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-        texts = self.texts.join(small, F.col("__id") == F.col("least_id"), "left_semi")
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(node, members) of the nodes of ``pairs``; members are packed numbers."""
+        words = self.words
+        wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(self.least, "node"))
+        some = wanted.count() <= BROADCAST_ROWS
+        ids, nodes = (F.broadcast(x) if some else x for x in (wanted.select("least_id").distinct(), wanted.select("node")))
+        texts = self.texts.join(ids, F.col("__id") == F.col("least_id"), "left_semi")
 
         def members():
             def work(part: pa.RecordBatch) -> dict:
                 sets = [shingle_set(b, words) for b in bytes_of(part, 1)]
-                return {"node": [_node(s) for s in sets], "members": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+                return {"node": [_node(s) for s in sets], "members": [s.tobytes() for s in sets]}
 
             return work
 
-        new = checkpointed(map_texts(texts, "__id", "__t", members, [field("node", "bigint"), field("members", "array<bigint>")]).select("node", "members"))
-        self.made = new if self.made is None else self.made.unionByName(new)
-        common = F.size(F.array_intersect("a", "b"))
-        both = with_ends(left, self.made.dropDuplicates(["node"]), "members")
-        return checkpointed(both.where(common >= similarity * (F.size("a") + F.size("b") - common) - SLACK).select("u", "v"))
+        made = map_texts(texts, "__id", "__t", members, [field("node", "bigint"), field("members", "binary")])
+        return made.select("node", "members").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` (u, v) that have the Jaccard similarity, counted on the sets.
+
+        A set is made once. It moves once to each u that it is compared with, where u's own set is held for the run
+        of its pairs; a u with more pairs than a tile is dealt to several runs."""
+        similarity = self.similarity
+        left = checkpointed(with_ends(pairs, self.sketches, "sketch").mapInArrow(lambda it: possible_pairs(it, similarity), "u bigint, v bigint"))
+        crowds = checkpointed(left.groupBy("u").agg(F.ceil(F.count("*") / self.tile).cast("int").alias("parts")).where("parts > 1"))
+        crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds
+        dealt = left.join(crowds, "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"), F.lit(0)))
+        ends = dealt.select(F.col("v").alias("node"), "u", "part", "v").unionByName(dealt.select(F.col("u").alias("node"), "u", "part", F.lit(None).cast("bigint").alias("v")).distinct())
+        rows = ends.join(self.of(left), "node").select("u", "part", "v", "members")
+        runs = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+        return checkpointed(runs.mapInArrow(lambda it: compared(it, similarity), "u bigint, v bigint"))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
     """(id, component_id): texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``,
     directly or over others, share the smallest id. Rows without id are left out."""
+    return text_components(docs, id_col, text_col, words, similarity, tile).select(F.col("__id").alias(id_col), "component_id")
+
+
+def text_components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """(__id, text_hash, component_id): :func:`similar_components` with a hash of each row's text."""
     named = docs.where(F.col(id_col).isNotNull())
     frequent = frequent_shingles(named, text_col, words)
     order = np.argsort(frequent)
@@ -396,11 +437,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         def work(part: pa.RecordBatch) -> dict:
             sets = [shingle_set(b, words) for b in bytes_of(part, 1)]
-            return {"node": [_node(s) for s in sets], "size": [len(s) for s in sets], "keys": pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64())), "sketch": [sketch(s) for s in sets]}
+            return {"text_hash": [text_hash(b) for b in bytes_of(part, 1)], "node": [_node(s) for s in sets], "size": [len(s) for s in sets], "keys": pa.array([prefix(s).view(np.int64) for s in sets], pa.list_(pa.int64())), "sketch": [sketch(s) for s in sets]}
 
         return work
 
-    fields = [field("node", "bigint"), field("size", "bigint"), field("keys", "array<bigint>"), field("sketch", "binary")]
+    fields = [field("text_hash", "bigint"), field("node", "bigint"), field("size", "bigint"), field("keys", "array<bigint>"), field("sketch", "binary")]
     marked = checkpointed(map_texts(named, id_col, text_col, make, fields).withColumnRenamed(id_col, "__id"))
     keys = marked.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
     listed = keys.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.shiftleft("size", 32) + F.col("at")).alias("place"))
@@ -410,7 +451,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = marked.groupBy("node").agg(F.min("__id").alias("least_id"))
     offered = shared.select("node").distinct()
     sketches = checkpointed(marked.select("node", "sketch").join(offered, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")))
-    sets = Sets(named.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), least, sketches, words, similarity)
+    sets = Sets(named.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), least, sketches, words, similarity, tile)
 
     stars = shared.where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
     links = sets.similar(stars)
@@ -435,7 +476,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = links.unionByName(more).join(least.select(F.col("node").alias("u"), F.col("least_id").alias("a")), "u").join(least.select(F.col("node").alias("v"), F.col("least_id").alias("b")), "v")
     found = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_node = least.join(found.withColumnRenamed("node", "__n"), F.col("least_id") == F.col("__n"), "left").select("node", F.coalesce("root", "least_id").alias("component_id"))
-    return marked.select("__id", "node").join(of_node, "node").select(F.col("__id").alias(id_col), "component_id")
+    return marked.select("__id", "text_hash", "node").join(of_node, "node").select("__id", "text_hash", "component_id")
 
 
 def _node(values: np.ndarray) -> int:
@@ -443,12 +484,30 @@ def _node(values: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
 
 
+def text_hash(text: bytes) -> int:
+    """What Spark's xxhash64 gives for the text."""
+    value = xxhash.xxh64_intdigest(text, SEED)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of similar texts: the row of the smallest id. Repeated rows of one id count
-    once. Rows without id can't be named and are kept as they are."""
-    kept = similar_components(docs, id_col, text_col, words, similarity).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    """``docs`` with one row of each group of similar texts: a row of the smallest id.
+
+    Defined cases: null and empty texts have the empty set and are one group; texts of fewer than ``words`` words are one
+    shingle; very long texts are compared whole, by as many memory as their sets take. Of several rows of one id that
+    stand for their groups, the one with the least hash of its text stays (equal rows are one). Rows without id can't be
+    named: they are kept as they are and take part in no group. An empty table gives an empty result; all columns of
+    ``docs`` are kept, whatever their names."""
+    names = docs.columns
+    slim = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
+    kept = text_components(slim, "__id", "__t", words, similarity).where("__id = component_id").groupBy("__id").agg(F.min("text_hash").alias("__h"))
+    # columns by position, so that names of ``docs`` can't meet those used here
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    at, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    hashed = own.withColumns({"__i": F.col(at), "__g": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
+    first = Window.partitionBy("__i").orderBy(F.xxhash64(*own.columns))
+    named = hashed.join(kept, (F.col("__i") == F.col("__id")) & (F.col("__g") == F.col("__h")), "left_semi").withColumn("__r", F.row_number().over(first)).where("__r = 1")
+    return named.select(*own.columns).unionByName(own.where(F.col(at).isNull())).toDF(*names)
 
 
 def hex_of(fp) -> Column:
