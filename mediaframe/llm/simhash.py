@@ -204,10 +204,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Texts that are read to find frequent shingles, how often one must occur there, and how many are listed at most.
-FREQUENT_TEXTS, FREQUENT, FREQUENT_LISTED = 5000, 5, 200_000
+FREQUENT_TEXTS, FREQUENT, FREQUENT_LISTED = 20_000, 5, 200_000
 SLACK = 1e-9
-#: A set's sketch has the least power of two of cells that holds this many members a cell or fewer.
-CELL_MEMBERS, CELL = 4, np.uint8
+#: Pairs of one set that are compared in one run.
+RUN = 256
 #: Turns in which a key's sets are offered to one of them before all pairs are.
 STARS = 3
 
@@ -282,9 +282,11 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _offered(table: pa.Table, similarity: float) -> np.ndarray:
-    """(u, v) of rows (tile, node, place, group) sorted by tile: pairs of one tile and different groups whose sizes and places allow
-    the similarity. The bound on places holds at the first shared key of a pair, so each pair passes at one at least."""
+    """(u, v) of rows (tile, node, place, group, sketch) sorted by tile: pairs of one tile and different groups whose sizes, places
+    and sketches allow the similarity. The bound on places holds at the first shared key of a pair, so each pair passes at
+    one at least."""
     tiles, nodes, places, groups = (table.column(i).to_numpy() for i in range(4))
+    sketches = [unpacked(x) for x in table.column(4).to_pylist()]
     size, place = places >> 32, places & 0xFFFFFFFF
     left = size - place
     cuts = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
@@ -296,13 +298,15 @@ def _offered(table: pa.Table, similarity: float) -> np.ndarray:
             good = (groups[a, None] != groups[None, b]) & (nodes[a, None] != nodes[None, b]) & (np.minimum(left[a, None], left[None, b]) >= needed)
             good &= np.minimum(size[a, None], size[None, b]) >= similarity * np.maximum(size[a, None], size[None, b]) - SLACK
             x, y = np.nonzero(good)
+            near = [possible(sketches[i + m], sketches[i + n], similarity) for m, n in zip(x.tolist(), y.tolist())]
+            x, y = x[near], y[near]
             out.append(np.stack((nodes[a][x], nodes[b][y]), axis=1))
     pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
     return np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
 
 
 def offered_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, node, place, group) sorted by tile: the pairs (u, v) to compare."""
+    """Rows (tile, node, place, group, sketch) sorted by tile: the pairs (u, v) to compare."""
 
     def out(table: pa.Table) -> pa.RecordBatch:
         pairs = _offered(table, similarity)
@@ -323,27 +327,36 @@ def offered_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """How many members of a set fall in each cell; empty, which rules nothing out, where a count is too large to note."""
-    cells = 1 << max(0, int(len(values) - 1) // CELL_MEMBERS).bit_length()
-    counts = np.bincount((values >> np.uint64(32)).astype(np.int64) % cells, minlength=cells)
-    return counts.astype(CELL).tobytes() if counts.max(initial=0) <= np.iinfo(CELL).max else b""
+    """A set's size (4 bytes), then one bit per cell: whether an odd number of members falls there. There are at least as
+    many cells as members, a power of two."""
+    cells = 1 << max(3, int(max(len(values) - 1, 0)).bit_length())
+    odd = np.bincount((values >> np.uint64(32)).astype(np.int64) % cells, minlength=cells) & 1
+    return len(values).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def possible(a: bytes, b: bytes, similarity: float) -> bool:
-    """Whether two sketches allow the similarity: no more members are common than the cells have in common. The longer
-    sketch is folded to the cells of the shorter one, as both counts are powers of two."""
-    if not a or not b:
-        return True
-    short, long = sorted((np.frombuffer(a, CELL).astype(np.int64), np.frombuffer(b, CELL).astype(np.int64)), key=len)
-    common = np.minimum(short, long.reshape(-1, len(short)).sum(axis=0)).sum()
-    return bool(common >= similarity / (1 + similarity) * (short.sum() + long.sum()) - SLACK)
+def unpacked(found: bytes) -> tuple[int, int, int]:
+    """(size, cells, bits) of a sketch."""
+    return int.from_bytes(found[:4], "little"), 8 * (len(found) - 4), int.from_bytes(found[4:], "little")
+
+
+def possible(a: tuple[int, int, int], b: tuple[int, int, int], similarity: float) -> bool:
+    """Whether two sketches allow the similarity: cells that differ are no more than the members that only one set has.
+    The longer sketch is folded to the cells of the shorter one."""
+    if a[1] > b[1]:
+        a, b = b, a
+    cells, bits = b[1], b[2]
+    while cells > a[1]:
+        cells //= 2
+        bits = (bits >> cells) ^ (bits & ((1 << cells) - 1))
+    return (a[2] ^ bits).bit_count() <= (1 - similarity) / (1 + similarity) * (a[0] + b[0]) + SLACK
 
 
 def possible_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (u, v, a, b) whose sketches allow the similarity."""
+    """Rows (u, v, g, a, b) whose sketches allow the similarity."""
     for batch in batches:
-        good = pa.array([possible(a, b, similarity) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in (0, 1)], names=["u", "v"])
+        a, b = (map(unpacked, batch.column(i).to_pylist()) for i in (3, 4))
+        good = pa.array([possible(x, y, similarity) for x, y in zip(a, b)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(good) for i in range(3)], names=["u", "v", "g"])
 
 
 def compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -367,15 +380,15 @@ def compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
 
 def with_ends(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (u, v) with ``column`` of both nodes as a and b."""
-    return pairs.join(of.select(F.col("node").alias("u"), F.col(column).alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col(column).alias("b")), "v").select("u", "v", "a", "b")
+    """``pairs`` (u, v, g) with ``column`` of both nodes as a and b."""
+    return pairs.join(of.select(F.col("node").alias("u"), F.col(column).alias("a")), "u").join(of.select(F.col("node").alias("v"), F.col(column).alias("b")), "v").select("u", "v", "g", "a", "b")
 
 
 class Sets:
     """The shingle sets of nodes, made from their texts for the pairs that need them."""
 
-    def __init__(self, texts: DataFrame, least: DataFrame, sketches: DataFrame, words: int, similarity: float, tile: int) -> None:
-        self.texts, self.least, self.sketches, self.words, self.similarity, self.tile = texts, least, sketches, words, similarity, tile
+    def __init__(self, texts: DataFrame, least: DataFrame, sketches: DataFrame, words: int, similarity: float) -> None:
+        self.texts, self.least, self.sketches, self.words, self.similarity = texts, least, sketches, words, similarity
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """(node, members) of the nodes of ``pairs``; members are packed numbers."""
@@ -395,14 +408,19 @@ class Sets:
         made = map_texts(texts, "__id", "__t", members, [field("node", "bigint"), field("members", "binary")])
         return made.select("node", "members").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Of ``pairs`` (u, v, g), for each v and each group g of other ends, one whose sketches allow the similarity."""
+        similarity = self.similarity
+        left = with_ends(pairs, self.sketches, "sketch").mapInArrow(lambda it: possible_pairs(it, similarity), "u bigint, v bigint, g bigint")
+        return left.groupBy("v", "g").agg(F.min("u").alias("u")).select("u", "v")
+
     def similar(self, pairs: DataFrame) -> DataFrame:
         """The rows of ``pairs`` (u, v) that have the Jaccard similarity, counted on the sets.
 
         A set is made once. It moves once to each u that it is compared with, where u's own set is held for the run
-        of its pairs; a u with more pairs than a tile is dealt to several runs."""
-        similarity = self.similarity
-        left = checkpointed(with_ends(pairs, self.sketches, "sketch").mapInArrow(lambda it: possible_pairs(it, similarity), "u bigint, v bigint"))
-        crowds = checkpointed(left.groupBy("u").agg(F.ceil(F.count("*") / self.tile).cast("int").alias("parts")).where("parts > 1"))
+        of its pairs; a u with many pairs is dealt to several runs."""
+        similarity, left = self.similarity, checkpointed(pairs)
+        crowds = checkpointed(left.groupBy("u").agg(F.ceil(F.count("*") / RUN).cast("int").alias("parts")).where("parts > 1"))
         crowds = F.broadcast(crowds) if crowds.count() <= BROADCAST_ROWS else crowds
         dealt = left.join(crowds, "u", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"), F.lit(0)))
         ends = dealt.select(F.col("v").alias("node"), "u", "part", "v").unionByName(dealt.select(F.col("u").alias("node"), "u", "part", F.lit(None).cast("bigint").alias("v")).distinct())
@@ -451,10 +469,10 @@ def text_components(docs: DataFrame, id_col: str, text_col: str, words: int, sim
     least = marked.groupBy("node").agg(F.min("__id").alias("least_id"))
     offered = shared.select("node").distinct()
     sketches = checkpointed(marked.select("node", "sketch").join(offered, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")))
-    sets = Sets(named.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), least, sketches, words, similarity, tile)
+    sets = Sets(named.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), least, sketches, words, similarity)
 
-    stars = shared.where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    links = sets.similar(stars)
+    stars = shared.where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"), F.lit(0).cast("bigint").alias("g")).distinct()
+    links = sets.similar(sets.likely(stars))
     for turn in range(1, STARS + 1):
         # each turn offers a key's sets to another one of them, until nothing links; then all pairs that are left
         rows = shared.join(components(links), "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("group"), F.expr(f"nth div {tile}").alias("block"))
@@ -463,13 +481,13 @@ def text_components(docs: DataFrame, id_col: str, text_col: str, words: int, sim
         rows = checkpointed(rows.join(mixed.where("low < high").select("key", "blocks", "lead"), "key"))
         if turn == STARS:
             break
-        stars = rows.where("group != lead.group").select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
-        found = sets.similar(stars)
+        stars = rows.where("group != lead.group").select(F.col("lead.node").alias("u"), F.col("node").alias("v"), F.col("lead.group").alias("g")).distinct()
+        found = sets.similar(sets.likely(stars))
         if found.isEmpty():
             break
         links = links.unionByName(found)
     tiles = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks")), lambda j: F.xxhash64(F.col("key"), F.least(j, F.col("block")), F.greatest(j, F.col("block"))))
-    rows = rows.select(F.explode(tiles).alias("tile"), "node", "place", "group")
+    rows = rows.join(sketches, "node").select(F.explode(tiles).alias("tile"), "node", "place", "group", "sketch")
     pairs = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda it: offered_pairs(it, similarity), "u bigint, v bigint").distinct()
     more = sets.similar(pairs)
 
