@@ -51,3 +51,11 @@ def bracket_join(left: DataFrame, right: DataFrame, by: list[str], at: str, time
         **{lo: scan.last(F.col("_pay")), hi: scan.following(F.col("_pay"))},
     )
     return scanned.filter(F.col("_side") == 1).select("_row.*", lo, hi)
+
+
+def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], width) -> DataFrame:
+    """Pairs of half-open intervals of one key that overlap. Of two such intervals one starts inside the other, so this
+    is two disjoint point-in-interval joins. Both sides hold no empty interval and, beside ``by``, no common column."""
+    starts_inside = range_join(left, right, by, left_ends[0], *right_ends, width)
+    holds_start = range_join(right, left, by, right_ends[0], *left_ends, width, open_start=True)
+    return starts_inside.unionByName(holds_start)
