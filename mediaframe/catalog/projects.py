@@ -118,3 +118,31 @@ def time_texts(spark, sf):
     e = fx.table(spark, sf, "events")
     return e.select("event_id", text.timecode(ms, F.lit(24)).alias("tc"), text.short_time(ms).alias("short"), text.fingerprint(F.col("event_id"), ms).alias("key"), text.new_id("ast", F.col("event_id")).alias("id"),
                     F.when(ms >= 60000, text.fmt_duration(ms)).alias("long_"))
+
+
+def _ramped(spark, sf):
+    """Clips of which three in four have a preset ramp."""
+    from mediaframe.operators import ramps
+
+    c = presets.speed_presets(spark).select(F.col("preset").alias("_preset"), F.col("points").cast(ramps.RAMP).alias("speed"))
+    names = F.array(*[F.lit(n) for n in presets.SPEED])
+    w = fx.wide_clips(spark, sf).withColumn("_name", F.when(F.col("clip_id") % 4 != 0, F.get(names, (F.col("clip_id") % 7).cast("int"))))
+    return ramps.with_factor(w.join(c, F.col("_name") == F.col("_preset"), "left").drop("_name", "_preset"))
+
+
+@query("split_ramped")
+def split_ramped(spark, sf):
+    """Every third clip cut at 40 % of its length on the timeline."""
+    from mediaframe.operators import ramps
+
+    c = _ramped(spark, sf)
+    cut = c.filter(F.col("clip_id") % 3 == 0).select("project_id", "clip_id", (F.col("start_ms") + F.col("dur_ms") * 0.4).alias("at_ms"))
+    return ramps.split(c, cut).select("clip_key", "half", "start_ms", "dur_ms", "in_ms", "out_ms", "factor", F.size("speed").alias("knots"))
+
+
+@query("audio_schedule_ramped")
+def audio_schedule_ramped(spark, sf):
+    """Source windows of all ramped and plain clips in the mix."""
+    from mediaframe.operators import ramps
+
+    return ramps.audio_schedule(_ramped(spark, sf).filter(~F.col("muted") & ~F.col("track_muted")), 0.0, 1e9).select("project_id", "clip_id", "i0", "i1", "w0", "w1")

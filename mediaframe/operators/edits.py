@@ -129,19 +129,36 @@ def trim(clips: DataFrame, edits: DataFrame, magnet: bool) -> DataFrame:
     return j.select(*[fresh.get(c, F.col(c)).alias(c) for c in clips.columns], (fresh["dur_ms"] - dur).alias("trimmed_ms"))
 
 
+def split_targets(clips: DataFrame, edits: DataFrame) -> DataFrame:
+    """Clips with the cut of their link group (``at_ms``, null without one)."""
+    return clips.join(_targets(clips, edits, ["at_ms"]), ["project_id", "clip_id"], "left")
+
+
+def split_play() -> Column:
+    """Output time up to the cut, without the freeze."""
+    local = F.col("at_ms") - F.col("start_ms")
+    at, hold, fz = F.col("freeze_at"), F.col("freeze_hold"), F.col("freeze_at").isNotNull()
+    return F.when(fz & (local > at) & (local < at + hold), at).when(fz & (local > at), local - hold).otherwise(local)
+
+
 def split(clips: DataFrame, edits: DataFrame) -> DataFrame:
     """Split clips and their link partners at ``at_ms`` (timeline). Both halves meet on one source time; the
     freeze is divided; the left half keeps the fade-in, the right one the fade-out; the right half drops the
     transition and gets a derived id and link. edits: project_id, clip_id, at_ms. Adds ``half`` (whole / left /
-    right), clip_key (text id) and link_key."""
-    j = clips.join(_targets(clips, edits, ["at_ms"]), ["project_id", "clip_id"], "left")
+    right), clip_key (text id) and link_key. Clips have one constant speed; for ramps see
+    :func:`mediaframe.operators.ramps.split`."""
+    return split_at(split_targets(clips, edits), clips.columns, split_play() / F.col("factor"))
+
+
+def split_at(j: DataFrame, columns: list[str], offset: Column, keep: list[str] | None = None) -> DataFrame:
+    """The halves of :func:`split_targets` rows, cut ``offset`` ms into their source. ``keep`` names columns to pass on;
+    ``_range`` is the length of the source before the cut."""
     local = F.col("at_ms") - F.col("start_ms")
     cut = F.coalesce((local > SPLIT_MARGIN_MS) & (local < F.col("dur_ms") - SPLIT_MARGIN_MS), F.lit(False))
     at, hold, fz = F.col("freeze_at"), F.col("freeze_hold"), F.col("freeze_at").isNotNull()
     before, within = fz & (local <= at), fz & (local > at) & (local < at + hold)
-    play = F.when(within, at).when(fz & ~before, local - hold).otherwise(local)
     src = F.col("out_ms") - F.col("in_ms")
-    off = F.greatest(F.lit(0.0), F.least(src.cast("double"), play / F.col("factor")))
+    off = F.greatest(F.lit(0.0), F.least(src.cast("double"), offset))
     point = F.when(F.col("reversed"), F.col("out_ms") - off).otherwise(F.col("in_ms") + off)
     rev = F.col("reversed")
     base = lambda half, **kw: F.struct(F.lit(half).alias("half"), *[
@@ -151,14 +168,14 @@ def split(clips: DataFrame, edits: DataFrame) -> DataFrame:
                 freeze_at=F.when(~before, at), freeze_hold=F.when(within, local - at).when(~before, hold))
     right = base("right", start_ms=F.col("at_ms"), in_ms=F.when(rev, F.col("in_ms")).otherwise(point), out_ms=F.when(rev, point).otherwise(F.col("out_ms")), fade_in_ms=none,
                  dur_ms=F.col("dur_ms") - local, freeze_at=F.when(before, at - local).when(within, 0), freeze_hold=F.when(before, hold).when(within, at + hold - local))
-    out = j.withColumn("_h", F.explode(F.when(cut, F.array(left, right)).otherwise(F.array(base("whole")))))
+    out = j.withColumn("_range", src.cast("double")).withColumn("_h", F.explode(F.when(cut, F.array(left, right)).otherwise(F.array(base("whole")))))
     is_right = F.col("_h.half") == "right"
     fresh = {c: F.col(f"_h.{c}") for c in ("start_ms", "in_ms", "out_ms", "freeze_at", "freeze_hold", "fade_in_ms", "fade_out_ms", "dur_ms")}
-    fresh["transition_type"] = F.when(~is_right, F.col("transition_type")) if "transition_type" in clips.columns else None
+    fresh["transition_type"] = F.when(~is_right, F.col("transition_type")) if "transition_type" in columns else None
     own, link = F.col("clip_id").cast("string"), F.col("link_id").cast("string")
-    return out.select(*[fresh[c].alias(c) if fresh.get(c) is not None else F.col(c) for c in clips.columns], F.col("_h.half").alias("half"),
+    return out.select(*[fresh[c].alias(c) if fresh.get(c) is not None else F.col(c) for c in columns], F.col("_h.half").alias("half"),
                       F.when(is_right, new_id("clp", F.col("project_id"), own, F.col("at_ms"))).otherwise(own).alias("clip_key"),
-                      F.when(is_right & link.isNotNull(), new_id("lnk", F.col("project_id"), link, F.col("at_ms"))).otherwise(link).alias("link_key"))
+                      F.when(is_right & link.isNotNull(), new_id("lnk", F.col("project_id"), link, F.col("at_ms"))).otherwise(link).alias("link_key"), *(keep or []))
 
 
 def delete(clips: DataFrame, edits: DataFrame, magnet: bool, main_track: int = 0) -> DataFrame:

@@ -68,8 +68,8 @@ def source_to_output(times: DataFrame, lut: DataFrame) -> DataFrame:
     return j.select(*times.columns, ((F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_x") - F.col("k"))) * F.col("source_ms")).alias("output_ms"))
 
 
-def slice_curve(points: Column, u0: Column, u1: Column) -> Column:
-    """The part [u0, u1] of a curve stretched to 0..1, with the old knots inside and samples every quarter."""
+def slice_curve(points: Column, u0: Column, u1: Column, parts: int = 4) -> Column:
+    """The part [u0, u1] of a curve stretched to 0..1, with the old knots inside and samples every 1 / ``parts``."""
     prepared = monotone_tangents(normalise(points))
     a = F.least(F.greatest(u0, F.lit(0.0)), F.lit(1.0))
     b = F.greatest(a + 1e-6, F.least(u1, F.lit(1.0)))
@@ -79,7 +79,7 @@ def slice_curve(points: Column, u0: Column, u1: Column) -> Column:
 
     def fill(x: Column, i: Column) -> Column:
         e = F.get(anchors, i + 1)
-        extra = F.greatest(F.lit(0), F.ceil((e - x) / (span / 4)).cast("int") - 1)
+        extra = F.greatest(F.lit(0), F.ceil((e - x) / (span / parts)).cast("int") - 1)
         more = F.when(e.isNull() | (extra < 1), F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda k: x + (e - x) * k / (extra + 1)))
         return F.concat(F.array(x), more)
 
