@@ -1,8 +1,10 @@
 """URL filters by rules and by link-graph propagation, in DataFrame functions only.
 
 Rules decide the urls they fit, the longest rule first. Hosts carry two seeds, the shares of their urls that rules
-allow and block. Trust flows from allowed hosts along links (personalised PageRank); distrust flows from blocked hosts
-against them, to the hosts that link there. A host whose distrust exceeds its trust by the threshold is blocked; this
+allow and block, times their links. Trust flows from allowed hosts along links (personalised PageRank); distrust flows
+from blocked hosts against them, to the hosts that link there. Both are compared with the rank that a host would get
+were every host a full seed, so a figure says which part of what its links bring is trust or distrust, however many
+other hosts share a neighbour. A host is blocked where its distrust reaches the threshold and exceeds its trust; this
 decides the urls without a rule.
 
 Defined cases: a null url, or one without ``://``, has the empty host and path and fits no rule; links to a host
@@ -71,37 +73,54 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagated(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, score): personalised PageRank from ``seeds`` (host, seed) along ``edges`` (src, dst, n), in
-    units in which a host that nothing reaches has its own seed. Both inputs are best checkpointed."""
+    """(host, score, ..): personalised PageRank from ``seeds`` (host, seed, ..) along ``edges`` (src, dst, n), in
+    units in which a host that nothing reaches has its own seed. Further columns of ``seeds`` are seeds that spread
+    in the same rounds. Both inputs are best checkpointed."""
+    kinds = [c for c in seeds.columns if c not in ("host", "seed")]
+    seeds = seeds.select("host", *(F.col(c).alias(f"__{c}") for c in ["seed", *kinds]))
+    pairs = [("__seed", "score"), *((f"__{c}", c) for c in kinds)]
     totals = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = checkpointed(edges.join(totals, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    ranks = seeds.select("host", F.col("seed").alias("score"))
+    ranks = seeds.select("host", *(F.col(a).alias(b) for a, b in pairs))
     if shares.isEmpty():
         return ranks
     for done in range(1, rounds + 1):
-        moved = shares.join(ranks.where("score > 0"), F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("score")).alias("moved"))
-        ranks = seeds.join(moved, "host", "full").select("host", (F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("moved", F.lit(0.0))).alias("score"))
+        arrived = [F.sum(F.col("share") * F.col(b)).alias(f"__new_{b}") for _, b in pairs]
+        moved = shares.join(ranks, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg(*arrived)
+        ranks = seeds.join(moved, "host", "full").select("host", *((F.coalesce(a, F.lit(0.0)) + damping * F.coalesce(f"__new_{b}", F.lit(0.0))).alias(b) for a, b in pairs))
         if done % 4 == 0 or done == rounds:
             ranks = checkpointed(ranks)
     return ranks
 
 
+def figures(seeds: DataFrame, edges: DataFrame, seed: str, name: str, rounds: int) -> DataFrame:
+    """(host, ``name``): the greater of a host's own share ``seed`` and the part of the mass its links bring that comes
+    from such hosts. Every host seeds with one unit a link, so a neighbour's other links take nothing away."""
+    links = edges.groupBy(F.col("src").alias("host")).agg(F.sum("n").cast("double").alias("links"))
+    start = checkpointed(seeds.select("host", F.col(seed).alias("own")).join(links, "host", "full").na.fill(0.0, ["own", "links"]))
+    ranks = propagated(start.select("host", (F.col("own") * F.col("links")).alias("seed"), F.col("links").alias("whole")), edges, rounds)
+    brought = F.col("whole") - F.coalesce("links", F.lit(0.0))
+    part = (F.col("score") - F.coalesce("own", F.lit(0.0)) * F.coalesce("links", F.lit(0.0))) / brought
+    return ranks.join(start, "host", "left").select("host", F.greatest(F.coalesce("own", F.lit(0.0)), F.when(brought > 1e-9, part).otherwise(0.0)).alias(name))
+
+
 def host_scores(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules: dict[str, str] = RULES, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust)."""
+    """(host, trust, distrust), both from 0 to 1."""
     rows = parsed(pages.withColumn("__none", F.lit(None)), "__none", url_col, rules)
     share = lambda verdict: F.avg(F.when(F.col("ruled") == verdict, 1.0).otherwise(0.0))
     seeds = checkpointed(rows.groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block")))
     edges = checkpointed(host_links(pages, url_col, html_col))
-    trust = propagated(seeds.select("host", F.col("allow").alias("seed")), edges, rounds)
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagated(seeds.select("host", F.col("block").alias("seed")), turned, rounds)
-    return trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full").na.fill(0.0, ["trust", "distrust"])
+    trust, distrust = figures(seeds, edges, "allow", "trust", rounds), figures(seeds, turned, "block", "distrust", rounds)
+    return trust.join(distrust, "host", "full").na.fill(0.0, ["trust", "distrust"])
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: dict[str, str] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """(id, host, path, rule, verdict): one row per row of ``pages``."""
     scores = host_scores(pages, url_col, html_col, rules)
-    blocked = scores.where(F.col("distrust") - F.col("trust") >= threshold).select("host", F.lit("block").alias("graph"))
+    # sums of doubles depend on their order; figures that differ in the last places only are equal
+    trust, distrust = F.round("trust", 9), F.round("distrust", 9)
+    blocked = scores.where((distrust >= threshold) & (distrust > trust)).select("host", F.lit("block").alias("graph"))
     rows = parsed(pages, id_col, url_col, rules).join(blocked, "host", "left")
     verdict = F.coalesce("ruled", "graph", F.lit("allow"))
     return rows.select(F.col("__id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))

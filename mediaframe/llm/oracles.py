@@ -77,12 +77,17 @@ def pii_sql() -> str:
         "card": f"length({n}) between 16 and 19 and list_sum(list_transform(range(1, length({n}) + 1), lambda i: case when i % 2 = 1 then substr({n}, (length({n}) - i + 1)::bigint, 1)::int when {double} > 9 then {double} - 9 else {double} end)) % 10 = 0",
         "phone": f"length({n}) between 8 and 15",
     }
-    spans = ", ".join(f"list_transform(list_filter({located('t', PLAIN[k])}, lambda x: {good[k]}), lambda x: {{'s': x.s, 'e': x.s + length(x.m)}}) as {k}" for k in pii.KINDS)
+    spans = ", ".join(f"list_transform(list_filter({located('t', PLAIN[k])}, lambda x: {good[k]}), lambda x: {{'s': x.s, 'e': x.s + length(x.m), 'm': x.m}}) as {k}" for k in pii.KINDS)
     flags = ", ".join(f"(len({k}) > 0)::bigint as f_{k}" for k in pii.KINDS)
     over = []
+
+    def exceeds(sure: str, prior: str, proof: str) -> str:
+        return f"({sure} >= {pii.CERTAIN} and {proof} * log2({sure} / {prior}) >= {pii.EVIDENCE} and log2({sure} / {prior}) >= -{pii.GAIN} * log2({prior}))"
+
+    values = " || ".join(f"list_transform({k}, lambda x: '{k}:' || " + ("regexp_replace(x.m, '[^0-9]', '', 'g')" if k in ("card", "phone") else "lower(x.m)") + ")" for k in pii.KINDS)
     for k in pii.KINDS:
         sure = f"((c_{k} + 1) / (n + 2))"
-        over.append(f"(c_{k} >= {pii.SUPPORT} and {sure} >= {pii.CERTAIN} and log2({sure} / ((a_{k} + 1) / (docs + 2))) >= {pii.BITS})")
+        over.append(exceeds(sure, f"((a_{k} + 1) / (docs + 2))", f"c_{k}"))
     text = lambda kind: f"list_transform({kind}, lambda x: '{kind}:' || x.s || ':' || x.e)"
     listed = " || ".join(text(k) for k in pii.KINDS)
     base = " || ".join(pii.KINDS)
@@ -93,7 +98,13 @@ g as (select *, {flags}, list_distinct(regexp_extract_all(lower(regexp_replace(t
 whole as (select count(*) as docs, {", ".join(f"sum(f_{k}) as a_{k}" for k in pii.KINDS)} from g),
 each as (select unnest(terms) as term, {", ".join(f"f_{k}" for k in pii.KINDS)} from g),
 counts as (select term, count(*) as n, {", ".join(f"sum(f_{k}) as c_{k}" for k in pii.KINDS)} from each group by term),
-listed as (select list(term) as all_terms from counts, whole where {" or ".join(over)}),
+private as (select t, count(*) as m, any_value(terms) as terms, any_value(list_distinct({values})) as vs from g where {" + ".join(f"f_{k}" for k in pii.KINDS)} > 0 group by t),
+owned as (select t, m, unnest(vs) as v from private),
+common as (select v, sum(m) as docs_v from owned group by v having count(*) >= {pii.SUPPORT}),
+words as (select t, unnest(terms) as term from private),
+pairs as (select term, v, count(*) as texts, sum(m) as joint, any_value(docs_v) as docs_v from owned join common using (v) join words using (t) group by term, v having count(*) >= {pii.SUPPORT}),
+single as (select term from pairs join counts using (term), whole where {exceeds("((joint + 1) / (n + 2))", "((docs_v + 1) / (docs + 2))", "texts")}),
+listed as (select list(term) as all_terms from (select term from counts, whole where {" or ".join(over)} union select term from single)),
 o as (
   select g.*, case when {" + ".join(f"f_{k}" for k in pii.KINDS)} > 0 and len(all_terms) > 0 then
     list_filter(list_transform(list_filter({located("t", r"\p{L}+")}, lambda x: list_contains(all_terms, lower(x.m))), lambda x: {{'s': x.s, 'e': x.s + length(x.m)}}),
@@ -128,19 +139,23 @@ def hosts_sql() -> str:
     ]
     for seed, a, b in (("allow", "src", "dst"), ("block", "dst", "src")):
         steps.append(f"share_{seed} as (select {a} as src, {b} as dst, n / sum(n) over (partition by {a}) as share from edges)")
-        steps.append(f"{seed}_0 as (select host, {seed} as score from seeds)")
+        steps.append(f"links_{seed} as (select {a} as host, sum(n)::double as links from edges group by {a})")
+        steps.append(f"start_{seed} as (select host, coalesce({seed}, 0) as own, coalesce(links, 0) as links from seeds full join links_{seed} using (host))")
+        steps.append(f"{seed}_0 as (select host, own * links as score, links as whole from start_{seed})")
         for i in range(1, hosts.ROUNDS + 1):
             steps.append(
-                f"{seed}_{i} as (select coalesce(s.host, m.host) as host, coalesce(s.{seed}, 0) + {hosts.DAMPING} * coalesce(m.moved, 0) as score from seeds s full join "
-                f"(select dst as host, sum(share * score) as moved from share_{seed} e join {seed}_{i - 1} x on e.src = x.host group by dst) m on s.host = m.host)"
+                f"{seed}_{i} as (select coalesce(s.host, m.host) as host, coalesce(s.score, 0) + {hosts.DAMPING} * coalesce(m.score, 0) as score, coalesce(s.whole, 0) + {hosts.DAMPING} * coalesce(m.whole, 0) as whole from {seed}_0 s full join "
+                f"(select dst as host, sum(share * score) as score, sum(share * whole) as whole from share_{seed} e join {seed}_{i - 1} x on e.src = x.host group by dst) m on s.host = m.host)"
             )
-    last = hosts.ROUNDS
+        brought = "(r.whole - coalesce(links, 0))"
+        part = f"case when {brought} > 1e-9 then (r.score - coalesce(own * links, 0)) / {brought} else 0 end"
+        steps.append(f"f_{seed} as (select host, round(greatest(coalesce(own, 0), {part}), 9) as figure from {seed}_{hosts.ROUNDS} r left join start_{seed} s using (host))")
     return (
         "with "
         + ",\n".join(steps)
         + f"""
-select page_id, v.host, path, rule, coalesce(ruled, case when coalesce(b.score, 0) - coalesce(a.score, 0) >= {hosts.THRESHOLD} then 'block' else 'allow' end) as verdict
-from v left join allow_{last} a on v.host = a.host left join block_{last} b on v.host = b.host
+select page_id, v.host, path, rule, coalesce(ruled, case when b.figure >= {hosts.THRESHOLD} and b.figure > coalesce(a.figure, 0) then 'block' else 'allow' end) as verdict
+from v left join f_allow a on v.host = a.host left join f_block b on v.host = b.host
 """
     )
 

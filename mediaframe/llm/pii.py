@@ -1,13 +1,15 @@
 """Personal data: exact patterns, and terms that the corpus shows to disclose them, in DataFrame functions only.
 
 Patterns mark the protected entities (e-mail and network addresses, card and phone numbers). For every term of the
-corpus the counts of documents with the term, and of those that hold an entity of each kind, give the information that
-the term carries about the kind, log2 P(kind | term) / P(kind). In documents with entities, terms whose
-information and certainty exceed the disclosure thresholds are marked too; sanitising replaces entities by their
-kind, generalises such terms, and removes those that disclose almost surely.
+corpus the counts of documents with the term, and of those that also hold an entity of each kind, give the information
+that the term carries about the kind, log2 P(kind | term) / P(kind); for every single entity that several texts share,
+the same is counted for the terms that stand in its documents. A term is marked, in documents with entities, where its
+certainty, its evidence (documents times bits, so that chance is ruled out) and its gain (bits as a part of all that could
+be learned) exceed the disclosure thresholds. Sanitising replaces entities by their kind, generalises such terms, and
+removes those that disclose almost surely.
 
 Defined cases: null and empty texts have no spans and stay as they are; spans are in code points, end exclusive;
-repeated rows get equal results, one row each, but count in the statistics; rows without id are handled like any other; an
+repeated rows get equal results, one row each, and count in the statistics, but give no evidence about a single entity; rows without id are handled like any other; an
 empty table gives an empty result. Texts are matched whole, by patterns that take time in proportion to the text.
 """
 
@@ -28,10 +30,12 @@ PATTERNS = [
 ]
 KINDS = [kind for kind, _ in PATTERNS]
 TERM = r"\p{L}{2,}+"
-#: Disclosure thresholds: documents with term and entity, bits of information, share of certainty.
-SUPPORT = 25
-BITS = 2.0
+#: Disclosure thresholds: share of certainty, bits of evidence against chance, part of the prior's information, and the
+#: different texts that a single entity and a term must share.
 CERTAIN = 0.8
+EVIDENCE = 30.0
+GAIN = 0.5
+SUPPORT = 3
 REMOVE = 0.98
 
 
@@ -77,6 +81,14 @@ def _valid(kind: str):
     return lambda x: valid(kind, x["m"])
 
 
+def _span(kind: str):
+    def span(x: Column) -> Column:
+        entity = digits(x["m"]) if kind in ("card", "phone") else F.lower(x["m"])
+        return F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), F.xxhash64(F.lit(kind), entity).alias("h"))
+
+    return span
+
+
 def located(text: Column, pattern: Column, wanted: Column) -> tuple[Column, Column]:
     """(matches, the pieces of text around them) where ``wanted``; else null."""
     return F.when(wanted, F.regexp_extract_all(text, pattern, F.lit(0))), F.when(wanted, F.split(text, pattern, -1))
@@ -90,14 +102,15 @@ def starts(matches: Column, pieces: Column) -> Column:
 
 
 def with_entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one array (s, e) of spans per kind; null or empty where there is none."""
+    """``docs`` with one array (s, e, h) per kind: the spans and a hash of the entity, written plainly; null or empty
+    where there is none."""
     out = docs
     for kind, pattern in PATTERNS:
         matches, pieces = located(F.col(text), F.lit(pattern), candidate(kind, F.col(text)))
         out = out.withColumns({f"__m_{kind}": matches, f"__p_{kind}": pieces})
     for kind in KINDS:
         found = F.filter(starts(F.col(f"__m_{kind}"), F.col(f"__p_{kind}")), _valid(kind))
-        spans = F.transform(found, lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e")))
+        spans = F.transform(found, _span(kind))
         out = out.withColumn(kind, F.when(F.size(f"__m_{kind}") > 0, spans))
     return out.drop(*(f"__{x}_{k}" for k in KINDS for x in "mp"))
 
@@ -121,24 +134,57 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(TERM), F.lit(0)))
 
 
-def disclosing(marked: DataFrame, support: int = SUPPORT, bits: float = BITS, certain: float = CERTAIN) -> DataFrame:
-    """(term, kind, certainty): terms over the thresholds, from counts over all documents.
+def thresholds(joint: Column, n: Column, prior: Column, proof: Column) -> tuple[Column, Column, Column]:
+    """(over the thresholds, bits, certainty) of a term in ``n`` documents, ``joint`` of them with what has ``prior``;
+    ``proof`` counts what speaks for it. The certainty is the Laplace estimate of P(entity | term)."""
+    sure = (joint + 1) / (n + 2)
+    bits = F.log2(sure / prior)
+    return (sure >= CERTAIN) & (proof * bits >= EVIDENCE) & (bits >= -GAIN * F.log2(prior)), bits, sure
+
+
+def of_kinds(held: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(term, bits, kind, certainty) of the kinds that terms disclose."""
+    found = []
+    for k, prior in shares.items():
+        over, bits, sure = thresholds(F.col(k), F.col("n"), F.lit(prior), F.col(k))
+        found.append(F.when(over, F.struct("term", bits.alias("bits"), F.lit(k).alias("kind"), sure.alias("certainty"))))
+    return held.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*")
+
 
-    The certainty is the Laplace estimate of P(kind | term); the kind is the one the term says most about."""
+def of_entities(marked: DataFrame, held: DataFrame, total: int) -> DataFrame:
+    """(term, bits, kind, certainty) of the terms ``held`` that disclose a single entity.
+
+    Texts stand for their copies, by hash, with a count. Only entities of at least SUPPORT texts meet terms,
+    and only terms that stand almost never without an entity, so a long list of addresses makes no pairs."""
+    private = marked.where(protected())
+    each = F.array_distinct(F.concat(*(F.transform(spans_of(k), _entity(k)) for k in KINDS)))
+    owned = private.select(F.xxhash64("text").alias("h"), F.explode(each).alias("v")).groupBy("h", "v").agg(F.count("*").alias("m"))
+    common = owned.groupBy("v").agg(F.count("*").alias("texts"), F.sum("m").alias("docs")).where(F.col("texts") >= SUPPORT)
+    owned = owned.join(common, "v")
+    words = private.select(F.xxhash64("text").alias("h"), F.explode(terms_of(F.col("text"))).alias("term")).join(held.select("term", "n"), "term").distinct()
+    both = owned.join(words, "h").groupBy("term", "v").agg(F.count("*").alias("texts"), F.sum("m").alias("joint"), F.max("n").alias("n"), F.max("docs").alias("docs"))
+    over, bits, sure = thresholds(F.col("joint"), F.col("n"), (F.col("docs") + 1) / F.lit(total + 2), F.col("texts"))
+    return both.where((F.col("texts") >= SUPPORT) & over).select("term", bits.alias("bits"), F.col("v.kind").alias("kind"), sure.alias("certainty"))
+
+
+def _entity(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["h"].alias("h"))
+
+
+def disclosing(marked: DataFrame) -> DataFrame:
+    """(term, kind, certainty): terms over the thresholds, from counts over all documents; of several disclosures of
+    a term, the one it says most about."""
     flags = [has(k).cast("long").alias(f"__f_{k}") for k in KINDS]
-    each = marked.select(F.explode(terms_of(F.col("text"))).alias("term"), *flags)
-    sums = [F.sum(f"__f_{k}").alias(k) for k in KINDS]
-    counts = each.groupBy("term").agg(F.count("*").alias("n"), *sums)
+    some = protected().cast("long").alias("__f")
+    each = marked.select(F.explode(terms_of(F.col("text"))).alias("term"), some, *flags)
+    counts = each.groupBy("term").agg(F.count("*").alias("n"), F.sum("__f").alias("some"), *(F.sum(f"__f_{k}").alias(k) for k in KINDS))
+    # what holds of no entity at all holds of no kind and of no single one
+    held = checkpointed(counts.where((F.col("some") + 1) / (F.col("n") + 2) >= CERTAIN))
     whole = marked.select(*flags).agg(F.count("*").alias("docs"), *(F.sum(f"__f_{k}").alias(f"all_{k}") for k in KINDS)).first()
-    total = max(whole["docs"], 1)
-    found = []
-    for k in KINDS:
-        prior = ((whole[f"all_{k}"] or 0) + 1) / (total + 2)
-        sure = (F.col(k) + 1) / (F.col("n") + 2)
-        over = (F.col(k) >= support) & (sure >= certain) & (F.log2(sure / prior) >= bits)
-        found.append(F.when(over, F.struct(F.log2(sure / prior).alias("bits"), F.lit(k).alias("kind"), sure.alias("certainty"))))
-    best = F.array_max(F.array_compact(F.array(*found)))
-    return counts.withColumn("best", best).where("best is not null").select("term", F.col("best.kind").alias("kind"), F.col("best.certainty").alias("certainty"))
+    shares = {k: ((whole[f"all_{k}"] or 0) + 1) / (whole["docs"] + 2) for k in KINDS}
+    found = of_kinds(held, shares).unionByName(of_entities(marked, held, whole["docs"]))
+    best = found.groupBy("term").agg(F.max(F.struct("bits", "kind", "certainty")).alias("best"))
+    return best.select("term", "best.kind", "best.certainty")
 
 
 KEY = ["__id", "__hash"]
@@ -170,7 +216,7 @@ def term_spans(text: Column, terms: Column) -> tuple[Column, Column]:
 
 
 def spans_of(kind: str) -> Column:
-    return F.coalesce(F.col(kind), F.array().cast("array<struct<s:int,e:int>>"))
+    return F.coalesce(F.col(kind), F.array().cast("array<struct<s:int,e:int,h:bigint>>"))
 
 
 def span_texts(kind: str) -> Column:
@@ -183,7 +229,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = with_terms(marked(docs, id_col, text_col))
     matches, pieces = term_spans(F.col("text"), F.col("terms"))
     rows = rows.withColumns({"__m": matches, "__p": pieces})
-    within = F.transform(starts(F.col("__m"), F.col("__p")), lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e")))
+    within = F.transform(starts(F.col("__m"), F.col("__p")), _span("term"))
     rows = rows.withColumn("term", F.when(F.size("__m") > 0, within))
     base = F.concat(*map(spans_of, KINDS))
     rows = rows.withColumn("term", F.when(F.size("term") > 0, F.filter("term", lambda t: ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))))

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -553,6 +554,21 @@ def test_propagation_equals_dense(spark):
     assert all(got[f"h{i}"] == pytest.approx(rank[i]) for i in range(n))
 
 
+def test_distrust_does_not_thin_out(spark):
+    """Verdicts by the graph: few or many linkers of a blocked host, mixed links, trust against distrust; as the SQL."""
+    link = lambda *to: " ".join(f'<a href="http://{x}/">' for x in to)
+    pages = [(f"http://farm{i}.com/", link("spam.net")) for i in range(1000)] + [("http://two.com/", link("lone.net")), ("http://one.com/", link("lone.net"))]
+    pages += [("http://mixed.com/", link("spam.net", "a.com", "b.com")), ("http://half.com/", link("spam.net", "a.com")), ("http://trusted.com/", link("spam.net"))]
+    pages += [("http://good.org/fr/", link("trusted.com")), ("http://far.com/", link("farm1.com")), ("http://spam.net/", None), ("http://lone.net/", ""), ("http://a.com/", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in hosts.judge(df).collect()}
+    assert all(got[f"farm{i}.com"] == "block" for i in range(1000)) and got["two.com"] == got["one.com"] == "block"
+    assert got["mixed.com"] == got["a.com"] == got["trusted.com"] == got["far.com"] == "allow"
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert {r[1]: r[4] for r in con.execute(queries.ORACLES["op9_hosts"]).fetchall()} == got
+
+
 # --- personal data ------------------------------------------------------------------------------------------
 
 
@@ -603,6 +619,24 @@ def test_disclosing_terms(spark):
     assert clean[900].text == "courier without data" and clean[100].text == dict(df.collect())[100]
 
 
+def test_terms_of_one_entity(spark):
+    """A name beside one address in ten texts is marked, with less support it isn't, and copies are no support."""
+    filler = lambda i: " ".join("w" + "abcdefghij"[(i * k + k) % 10] * (1 + k % 3) for k in range(6))
+    cases = [(i, f"{filler(i)} {'ab'[i % 2] * (i + 1)} zorblax at z@b.org") for i in range(10)]
+    cases += [(100 + i, f"{filler(i)} {'cd'[i % 2] * (i + 1)} rarely at r@b.org") for i in range(2)] + [(200 + i, "copied words by c@b.org") for i in range(40)]
+    cases += [(1000 + i, filler(i)) for i in range(3000)] + [(5000 + i, f"{filler(i)} mail k{'xyz'[i % 3] * (i % 20 + 1)} to u{i}@b.org") for i in range(300)]
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    kinds = {r.term: r.kind for r in pii.disclosing(pii.marked(df, "doc_id", "text")).collect()}
+    assert kinds["zorblax"] == "email" and "rarely" not in kinds
+    single = {r.term for r in pii.of_entities(pii.marked(df, "doc_id", "text"), df.sparkSession.createDataFrame([("zorblax", 10), ("copied", 40), ("rarely", 2)], "term string, n long"), len(cases)).collect()}
+    assert single == {"zorblax"}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = {r[0]: r[-1] for r in con.execute(queries.ORACLES["op10_pii"]).fetchall()}
+    got = rows(pii.find(df))
+    assert {i: got[i].spans for i in got} == want and "term:" in got[0].spans
+
+
 def test_placeholders_stay(spark):
     """Terms are replaced between entities only: words like those that stand for entities are terms too."""
     rows = [(i, f"my phone is +49 30 10{i:05d} thanks") for i in range(200)] + [(1000 + i, "some plain words about nothing") for i in range(2000)]
