@@ -14,6 +14,7 @@ it holds ``MEMO`` words.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import unicodedata
@@ -37,6 +38,8 @@ LEAST_COUNT = 3
 COUNT_WORDS = 400_000
 MEMO = 400_000
 UNRANKED = 1 << 30
+#: Words of more letters are merged by a heap, whose cost grows with the word and not with its square.
+LONG = 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -76,6 +79,8 @@ class Vocabulary:
         """The ids of one word: the leftmost pair of least rank is joined until no pair has a rank."""
         parts = [self.letters[b] for b in word]
         parts[-1] += self.end
+        if len(parts) > LONG:
+            return [self.ids[p] for p in self.merge_long(parts)]
         rank = self.ranks.get
         order = [rank(pair, UNRANKED) for pair in zip(parts, parts[1:])]
         while order and (least := min(order)) < UNRANKED:
@@ -88,6 +93,29 @@ class Vocabulary:
                 order[i] = rank((parts[i], parts[i + 1]), UNRANKED)
         return [self.ids[p] for p in parts]
 
+    def merge_long(self, parts: list[str]) -> list[str]:
+        """The same merges for a word of many letters: a heap of ranked pairs over linked parts, where a pair that has
+        changed since it was pushed is passed over."""
+        rank = self.ranks.get
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        live: list[str | None] = list(parts)
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank((a, b))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if live[i] != a or j >= n or live[j] != b:
+                continue
+            live[i], live[j] = a + b, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n and (r := rank((live[left], live[right]))) is not None:
+                    heapq.heappush(heap, (r, left, live[left], live[right]))
+        return [p for p in live if p is not None]
+
     def splitter(self):
         """A function from a text to its words; special tokens come out as their id."""
         words = regex.compile(self.pattern).findall

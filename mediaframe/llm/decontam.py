@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bytes_of, slices
 
@@ -67,8 +68,8 @@ class Block:
                 self.pieces.setdefault(length, {}).setdefault(key, []).append((at, start))
         self.keys = {length: np.array(sorted(found), np.uint64) for length, found in self.pieces.items()}
 
-    def hits(self, words: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-        """(item id, distance, first word, end word) of the best passage for each item that matches."""
+    def hits(self, words: list[bytes]) -> Iterator[tuple]:
+        """(item id, words of the item, distance, first word, end word) of the best passage for each item that matches."""
         codes = np.fromiter(map(self.number.get, words, ZERO), np.uint64, len(words)) if words else np.zeros(0, np.uint64)
         regions: dict[int, list[tuple[int, int]]] = {}
         for length, keys in self.keys.items():
@@ -91,7 +92,7 @@ class Block:
                     first, _ = backwards(masks, n, listed[a : a + end], distance)
                     best = (distance, a + first, a + end)
             if best:
-                yield item_id, *best
+                yield item_id, n, *best
 
 
 class _Zero:
@@ -163,9 +164,9 @@ def backwards(masks: dict[int, int], n: int, text: list[int], distance: int) ->
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
     """(id, item_id, distance, similarity, first_word, end_word): every item that a text contains, with its best
-    passage (words counted from 0, end exclusive)."""
+    passage (words counted from 0, end exclusive). Item ids keep their own type."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("item_id bigint, distance int, similarity double, first_word int, end_word int").fields])
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("item_id", items.schema[item_col].dataType), *T._parse_datatype_string("distance int, similarity double, first_word int, end_word int").fields])
     source = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     out = None
     for shared in blocks(items, item_col, similarity):
@@ -178,7 +179,7 @@ def blocks(items: DataFrame, item_col: str, similarity: float) -> Iterator:
     """Broadcast blocks of the item set, each of about ``BLOCK_WORDS`` words."""
     sc = items.sparkSession.sparkContext
     held, size = [], 0
-    rows = items.select(F.col(item_col).cast("bigint"), F.col("text").cast("string")).where("text is not null").distinct().orderBy(item_col, "text")
+    rows = items.select(F.col(item_col), F.col("text").cast("string")).where("text is not null").distinct().orderBy(item_col, "text")
     for item_id, text in rows.toLocalIterator():
         held.append((item_id, text))
         size += len(words_of(text))
@@ -190,9 +191,10 @@ def blocks(items: DataFrame, item_col: str, similarity: float) -> Iterator:
 
 
 def _finder(shared, schema):
+    kind = to_arrow_type(schema["item_id"].dataType)
+
     def run(batches):
         block = shared.value
-        lengths = {item_id: n for item_id, n, _, _ in block.items}
         for batch in batches:
             for part in slices(batch, 1):
                 ids, rows = [], []
@@ -201,9 +203,9 @@ def _finder(shared, schema):
                         ids.append(i)
                         rows.append(hit)
                 columns = [part.column(0).take(pa.array(ids, pa.int64()))]
-                item, distance, first, end = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
-                share = [1 - d / lengths[i] for d, i in zip(distance, item)]
-                columns += [pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(share, pa.float64()), pa.array(first, pa.int32()), pa.array(end, pa.int32())]
+                item, words, distance, first, end = (list(c) for c in zip(*rows)) if rows else ([], [], [], [], [])
+                share = [1 - d / n for d, n in zip(distance, words)]
+                columns += [pa.array(item, kind), pa.array(distance, pa.int32()), pa.array(share, pa.float64()), pa.array(first, pa.int32()), pa.array(end, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return run

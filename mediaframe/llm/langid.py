@@ -210,13 +210,13 @@ def mean_posteriors(index: np.ndarray, lengths: np.ndarray, emissions: np.ndarra
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, size: int = SAMPLE) -> list[tuple[str, str]]:
     """(text, language) of the ``size`` documents of each language with the least hash of their id, out of those whose
-    text has a letter."""
+    text has a letter; of several documents with one id and language the text that sorts first."""
     usable = docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
     rows = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull()).distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     chosen = rows.withColumn("nth", nth).where(F.col("nth") <= size).select("id", F.col("lang").alias("chosen_lang"))
     texts = usable.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    found = texts.join(F.broadcast(chosen), (texts.id == chosen.id) & (texts.lang == chosen.chosen_lang)).select("text", "chosen_lang").collect()
+    found = texts.join(F.broadcast(chosen), (texts.id == chosen.id) & (texts.lang == chosen.chosen_lang)).groupBy(texts.id, "chosen_lang").agg(F.min("text").alias("text")).select("text", "chosen_lang").collect()
     return sorted((r[0], r[1]) for r in found)
 
 

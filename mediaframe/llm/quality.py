@@ -98,11 +98,12 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int = SAMPLE) -> list[tuple[str, int]]:
-    """(text, label) of the ``size`` labelled rows with the least hash of their id."""
+    """(text, label) of the ``size`` labelled rows with the least hash of their id; of several documents with one id
+    the text that sorts first, so that ``size`` bounds what comes to the driver."""
     usable = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where(F.col("__id").isNotNull()).distinct()
     chosen = F.broadcast(usable.orderBy(F.xxhash64("__id"), "__id", "__label").limit(size))
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    rows = texts.join(chosen, "__id").select("__id", "__text", "__label").collect()
+    rows = texts.join(chosen, "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text")).select("__id", "__text", "__label").collect()
     return [(r[1], r[2]) for r in sorted(rows)]
 
 

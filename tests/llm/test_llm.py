@@ -503,6 +503,47 @@ def test_languages_of_short_texts(spark):
     assert len(langid.sample(df, "doc_id", "text", "lang", 20)) == 40
 
 
+# --- bounds and long inputs ----------------------------------------------------------------------------------
+
+
+def test_samples_hold_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "copied text here", "aa")] * 500 + [(2, "other words", "zz"), (1, "a text", "aa")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
+    assert quality.labelled_sample(docs, labels, "doc_id", "text", "quality") == [("a text", 1), ("other words", 0)]
+    assert langid.sample(docs, "doc_id", "text", "lang") == [("a text", "aa"), ("other words", "zz")]
+
+
+def test_long_words_merge_alike():
+    vocabulary = bpe.Vocabulary(queries.vocabulary_path())
+    rng = np.random.default_rng(11)
+    for letters in ("ab", "aaaab", "theingation", "0123456789", "é日本x"):
+        for n in (1, 2, 7, 40, 64):
+            word = "".join(rng.choice(list(letters), n)).encode()
+            parts = [vocabulary.letters[b] for b in word]
+            parts[-1] += vocabulary.end
+            assert [vocabulary.ids[p] for p in vocabulary.merge_long(parts)] == plain_merge(vocabulary, word)
+    assert len(vocabulary.merge(b"ab" * 100_000)) > 0
+
+
+def plain_merge(vocabulary, word):
+    parts = [vocabulary.letters[b] for b in word]
+    parts[-1] += vocabulary.end
+    while True:
+        ranked = [(vocabulary.ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in vocabulary.ranks]
+        if not ranked:
+            return [vocabulary.ids[p] for p in parts]
+        _, i = min(ranked)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_item_ids_of_any_type(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([("q-1", text), ("q-1", text + " more words at the end of it"), (None, "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.similarity) for r in decontam.find(docs, items).collect()}
+    assert got >= {(1, "q-1", 0, 1.0), (2, None, 0, 1.0)}
+
+
 # --- hosts --------------------------------------------------------------------------------------------------
 
 
