@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.plans.sequential import Gather, Processor, sequential
@@ -278,40 +278,76 @@ def byte_track(dets: DataFrame, options: TrackerOptions | None = None) -> DataFr
 # --------------------------------------------------------------------------- following a pair
 
 
-@dataclass
-class _Target:
-    box: np.ndarray
-    emb: np.ndarray
-    vel: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    lost: int = 0
-
-    def predicted(self) -> np.ndarray:
-        return self.box + np.tile(self.vel * (self.lost + 1), 2)
-
-    def move(self, box: np.ndarray, keep: float) -> None:
-        centre = lambda b: (b[:2] + b[2:]) / 2
-        self.vel = keep * self.vel + (1 - keep) * (centre(box) - centre(self.box)) / (self.lost + 1)
-        self.box, self.lost = box, 0
-
-
-def _similar(targets, boxes, embs, app_min: float, veto) -> list:
-    """Best joint choice of a detection per target by overlap, distance and appearance."""
-    if not len(boxes):
-        return [None] * len(targets)
-    score = np.full((len(targets), len(boxes)), -1e9)
-    for i, t in enumerate(targets):
-        p = t.predicted()
-        pw, pa = max(p[2] - p[0], 1.0), max((p[2] - p[0]) * (p[3] - p[1]), 1.0)
-        fit = iou_table(p, boxes)[0]
-        size = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]) / pa
-        away = np.hypot((boxes[:, 0] + boxes[:, 2] - p[0] - p[2]) / 2, (boxes[:, 1] + boxes[:, 3] - p[1] - p[3]) / 2) / pw
-        look = embs @ t.emb / (np.linalg.norm(embs, axis=1) * np.linalg.norm(t.emb) + 1e-9)
-        ok = ~veto & (size >= 0.4) & (size <= 2.5) & (look >= app_min) & ((fit >= 0.2) | (away <= min(0.6 + 0.35 * t.lost, 3.0)))
-        score[i] = np.where(ok, fit + 0.5 * np.maximum(0, 1 - away) + 2 * (look - app_min), -1e9)
-    out = [None] * len(targets)
-    for a, b in optimal_pairs(-score, 1e8):
-        out[a] = b
-    return out
+# Fixed values of the association: area ratio, overlap, and centre distance in widths that a match may have (the reach grows
+# with every missed sample up to a limit), and the weights of distance and appearance beside the overlap.
+SIZE_LOW, SIZE_HIGH, OVERLAP_MIN = 0.4, 2.5, 0.2
+REACH, REACH_GROWTH, REACH_MAX = 0.6, 0.35, 3.0
+DISTANCE_WEIGHT, LOOK_WEIGHT = 0.5, 2.0
+KEEP_ANCHOR, KEEP_MATCH = 0.5, 0.6
+EDGE = 0.02
+
+
+def _centres(boxes: np.ndarray) -> np.ndarray:
+    return (boxes[:, :2] + boxes[:, 2:]) / 2
+
+
+class _FollowPair(Processor):
+    """Associates the samples of a pair with its two targets, both kept in arrays: last box, velocity, look, and the
+    samples since the last match. What that means for the result is left to columns."""
+
+    def __init__(self, app_min: float):
+        self.app_min = app_min
+
+    def start(self, key):
+        self.key, self.box = key[0], None
+
+    def feed(self, cols):
+        boxes, lost = [], []
+        for dets, anchor in zip(cols["dets"], cols["anchor"]):
+            if anchor is None:
+                self.match(dets)
+            else:
+                self.place(anchor)
+            boxes.append(self.box.tolist())
+            lost.append(self.lost.tolist())
+        return {"pair_id": [self.key] * len(boxes), "frame": cols["frame"], "boxes": boxes, "lost": lost}
+
+    def place(self, anchor):
+        boxes = np.array([anchor["p_box"], anchor["d_box"]], dtype=float)
+        if self.box is None:
+            self.box, self.velocity, self.lost = boxes, np.zeros((2, 2)), np.zeros(2, dtype=np.int64)
+        self.look = np.array([anchor["p_emb"], anchor["d_emb"]], dtype=float)
+        self.update(np.array([True, True]), boxes, KEEP_ANCHOR)
+
+    def match(self, dets):
+        found, boxes = np.zeros(2, dtype=bool), self.box.copy()
+        if len(dets):
+            offered = np.array([d["box"] for d in dets], dtype=float)
+            for target, det in optimal_pairs(-self.scores(offered, dets), 1e8):
+                found[target], boxes[target] = True, offered[det]
+        self.update(found, boxes, KEEP_MATCH)
+
+    def scores(self, offered: np.ndarray, dets) -> np.ndarray:
+        """How well every offered box suits each target at the place its velocity leads to."""
+        ahead = self.box + np.tile(self.velocity * (self.lost + 1)[:, None], 2)
+        look = np.array([d["emb"] for d in dets], dtype=float)
+        allowed = ~np.array([bool(d["veto"]) for d in dets])
+        extent = ahead[:, 2:] - ahead[:, :2]
+        area = (offered[:, 2:] - offered[:, :2]).prod(axis=1) / np.maximum(extent.prod(axis=1), 1.0)[:, None]
+        overlap = iou_table(ahead, offered)
+        away = np.linalg.norm(_centres(offered)[None] - _centres(ahead)[:, None], axis=2) / np.maximum(extent[:, :1], 1.0)
+        alike = self.look @ look.T / (np.linalg.norm(self.look, axis=1)[:, None] * np.linalg.norm(look, axis=1) + 1e-9)
+        reach = np.minimum(REACH + REACH_GROWTH * self.lost, REACH_MAX)[:, None]
+        near = (overlap >= OVERLAP_MIN) | (away <= reach)
+        fits = allowed & near & (area >= SIZE_LOW) & (area <= SIZE_HIGH) & (alike >= self.app_min)
+        return np.where(fits, overlap + DISTANCE_WEIGHT * np.maximum(0, 1 - away) + LOOK_WEIGHT * (alike - self.app_min), -1e9)
+
+    def update(self, found: np.ndarray, boxes: np.ndarray, keep: float):
+        """Found targets move, with a velocity smoothed by ``keep``; the others are a sample longer lost."""
+        step = (_centres(boxes) - _centres(self.box)) / (self.lost + 1)[:, None]
+        self.velocity = np.where(found[:, None], keep * self.velocity + (1 - keep) * step, self.velocity)
+        self.box = np.where(found[:, None], boxes, self.box)
+        self.lost = np.where(found, 0, self.lost + 1)
 
 
 def follow_pairs(samples: DataFrame, anchors: DataFrame, fw: float, fh: float, hold: int, app_min: float = 0.7) -> DataFrame:
@@ -320,57 +356,27 @@ def follow_pairs(samples: DataFrame, anchors: DataFrame, fw: float, fh: float, h
     samples: pair_id, frame, det, x1..y2, emb array<double>, veto boolean (null det for an empty sample); anchors: pair_id,
     frame, p_* and d_* boxes, p_emb, d_emb. Boxes are held for ``hold`` samples; before the first anchor the
     duplicate is held to the start unless it touches the frame edge. The forward pass streams samples in
-    order, the backward pass in reverse; the state is two targets."""
-    a = anchors.select("pair_id", "frame", F.struct(*[F.array(*[f"{s}_{c}" for c in ("x1", "y1", "x2", "y2")]).alias(f"{s}_box") for s in "pd"], "p_emb", "d_emb").alias("anchor"))
+    order, the backward pass in reverse; the state is two targets, and the holding is a rule over their ages."""
+    boxes = [F.array(*[f"{s}_{c}" for c in ("x1", "y1", "x2", "y2")]).alias(f"{s}_box") for s in "pd"]
+    a = anchors.select("pair_id", "frame", F.struct(*boxes, "p_emb", "d_emb").alias("anchor"))
     first = anchors.groupBy("pair_id").agg(F.min("frame").alias("_first"))
     det = F.when(F.col("det").isNotNull(), F.struct("det", F.array("x1", "y1", "x2", "y2").alias("box"), "emb", "veto"))
     s = samples.groupBy("pair_id", "frame").agg(F.array_compact(F.array_sort(F.collect_list(det))).alias("dets")).join(a, ["pair_id", "frame"], "left").join(first, "pair_id")
-
-    def follow(back: bool):
-        class Follow(Processor):
-            def start(self, key):
-                self.key, self.t = key[0], None
-
-            def feed(self, cols):
-                out = {c: [] for c in ("pair_id", "frame", "primary", "duplicate", "held")}
-                for f, dets, anchor in zip(cols["frame"], cols["dets"], cols["anchor"]):
-                    p, d, held = self.one(dets, anchor)
-                    for n, v in zip(out, (self.key, f, None if p is None else p.tolist(), None if d is None else d.tolist(), held)):
-                        out[n].append(v)
-                return out
-
-            def one(self, dets, anchor):
-                if anchor is not None:
-                    pairs = [(np.array(anchor[f"{s}_box"], dtype=float), np.array(anchor[f"{s}_emb"], dtype=float)) for s in "pd"]
-                    if self.t is None:
-                        self.t = [_Target(b, e) for b, e in pairs]
-                    for t, (b, e) in zip(self.t, pairs):
-                        t.move(b, 0.5)
-                        t.emb = e
-                    return self.t[0].box, self.t[1].box, False
-                boxes = np.array([d["box"] for d in dets], dtype=float).reshape(-1, 4)
-                embs = np.array([d["emb"] for d in dets], dtype=float)
-                veto = np.array([bool(d["veto"]) for d in dets], dtype=bool)
-                for t, j in zip(self.t, _similar(self.t, boxes, embs, app_min, veto)):
-                    if j is None:
-                        t.lost += 1
-                    else:
-                        t.move(boxes[j], 0.6)
-                p, d = self.t
-                primary = p.box if p.lost <= hold else None
-                if d.lost <= hold:
-                    return primary, d.box, d.lost > 0
-                b = d.box
-                edge = b[0] <= 0.02 * fw or b[1] <= 0.02 * fh or b[2] >= 0.98 * fw or b[3] >= 0.98 * fh
-                return (primary, b, True) if back and not edge else (primary, None, False)
-
-        return Follow
-
-    schema = "pair_id bigint, frame bigint, primary array<double>, duplicate array<double>, held boolean"
-    ahead = sequential(s.filter(F.col("frame") >= F.col("_first")).drop("_first"), ["pair_id"], ["frame"], schema, follow(False))
-    before = s.filter(F.col("frame") <= F.col("_first")).drop("_first").withColumn("_order", -F.col("frame"))
-    behind = sequential(before, ["pair_id"], ["_order"], schema, follow(True)).join(first, "pair_id").filter(F.col("frame") < F.col("_first")).drop("_first")
-    return ahead.unionByName(behind)
+    schema = "pair_id bigint, frame bigint, boxes array<array<double>>, lost array<bigint>"
+
+    def walked(rows: DataFrame, order: Column, back: bool) -> DataFrame:
+        rows = rows.drop("_first").withColumn("_order", order)
+        return sequential(rows, ["pair_id"], ["_order"], schema, lambda: _FollowPair(app_min)).withColumn("_back", F.lit(back))
+
+    ahead = walked(s.filter(F.col("frame") >= F.col("_first")), F.col("frame"), False)
+    behind = walked(s.filter(F.col("frame") <= F.col("_first")), -F.col("frame"), True)
+    behind = behind.join(first, "pair_id").filter(F.col("frame") < F.col("_first")).drop("_first")
+    box = F.col("boxes")[1]
+    inside = (box[0] > EDGE * fw) & (box[1] > EDGE * fh) & (box[2] < (1 - EDGE) * fw) & (box[3] < (1 - EDGE) * fh)
+    fresh = [F.col("lost")[i] <= hold for i in range(2)]
+    duplicate = F.when(fresh[1] | (F.col("_back") & inside), box)
+    out = ahead.unionByName(behind).select("pair_id", "frame", F.when(fresh[0], F.col("boxes")[0]).alias("primary"), duplicate.alias("duplicate"), "lost")
+    return out.select("pair_id", "frame", "primary", "duplicate", (F.col("duplicate").isNotNull() & (F.col("lost")[1] > 0)).alias("held"))
 
 
 def appearance_ema(dets: DataFrame, momentum: float) -> DataFrame:

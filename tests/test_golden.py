@@ -170,3 +170,20 @@ def test_follow_pair_holds_and_recovers(spark):
     out = tracking.follow_pairs(s, a, 1280, 720, hold=2).orderBy("frame").collect()
     assert [r.frame for r in out] == list(range(10)) and all(r.duplicate is not None for r in out)
     assert [r.frame for r in out if r.held] == [6, 7] and out[9].primary[0] == 209.0
+
+
+def test_follow_pair_states(spark):
+    """Edge, hold, loss and the way back to the start, on one pair that is confirmed late."""
+    row = lambda pair, f, det, x: (pair, f, det, float(x), 100.0, float(x) + 100, 400.0, [float(det == 1), float(det == 2)], False)
+    empty = lambda pair, f: (pair, f, None, None, None, None, None, None, None)
+    # pair 1: the duplicate is seen from frame 6 to 9; pair 2: the same at the frame's edge
+    rows = [row(p, f, 1, 300) for p in (1, 2) for f in range(14)] + [row(p, f, 2, x) for p, x in ((1, 800), (2, 0)) for f in range(6, 10)] + [empty(3, 0), row(3, 1, 1, 300), row(3, 1, 2, 800), empty(3, 2)]
+    s = spark.createDataFrame(rows, "pair_id bigint, frame bigint, det bigint, x1 double, y1 double, x2 double, y2 double, emb array<double>, veto boolean")
+    names = [f"{p}_{n}" for p in "pd" for n in ("x1", "y1", "x2", "y2")]
+    anchors = [(p, f, 300.0, 100.0, 400.0, 400.0, float(x), 100.0, x + 100.0, 400.0, [1.0, 0.0], [0.0, 1.0]) for p, f, x in ((1, 8, 800), (2, 8, 0), (3, 1, 800))]
+    a = spark.createDataFrame(anchors, "pair_id bigint, frame bigint, " + ", ".join(f"{n} double" for n in names) + ", p_emb array<double>, d_emb array<double>")
+    got = {(r.pair_id, r.frame): (r.duplicate is not None, r.held) for r in tracking.follow_pairs(s, a, 1280, 720, hold=2).collect()}
+    seen, held, gone = (True, False), (True, True), (False, False)
+    assert [got[1, f] for f in range(14)] == [held] * 6 + [seen] * 4 + [held] * 2 + [gone] * 2
+    assert [got[2, f] for f in range(14)] == [gone] * 4 + [held] * 2 + [seen] * 4 + [held] * 2 + [gone] * 2
+    assert [got[3, f] for f in range(3)] == [held, seen, held]
