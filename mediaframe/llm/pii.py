@@ -15,9 +15,13 @@ empty table gives an empty result. Texts are matched whole, by patterns that tak
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediaframe.session import shared_folder
+
 from .common import checkpointed
 
 #: (kind, pattern). Quantifiers are possessive and starts are tied down where that changes no match, so that
@@ -171,6 +175,13 @@ def _entity(kind: str):
     return lambda x: F.struct(F.lit(kind).alias("kind"), x["h"].alias("h"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, whose size the plans that read it know."""
+    path = f"{shared_folder(df.sparkSession)}/pii-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def disclosing(marked: DataFrame) -> DataFrame:
     """(term, kind, certainty): terms over the thresholds, from counts over all documents; of several disclosures of
     a term, the one it says most about."""
@@ -179,12 +190,12 @@ def disclosing(marked: DataFrame) -> DataFrame:
     each = marked.select(F.explode(terms_of(F.col("text"))).alias("term"), some, *flags)
     counts = each.groupBy("term").agg(F.count("*").alias("n"), F.sum("__f").alias("some"), *(F.sum(f"__f_{k}").alias(k) for k in KINDS))
     # what holds of no entity at all holds of no kind and of no single one
-    held = checkpointed(counts.where((F.col("some") + 1) / (F.col("n") + 2) >= CERTAIN))
+    held = written(counts.where((F.col("some") + 1) / (F.col("n") + 2) >= CERTAIN))
     whole = marked.select(*flags).agg(F.count("*").alias("docs"), *(F.sum(f"__f_{k}").alias(f"all_{k}") for k in KINDS)).first()
     shares = {k: ((whole[f"all_{k}"] or 0) + 1) / (whole["docs"] + 2) for k in KINDS}
     found = of_kinds(held, shares).unionByName(of_entities(marked, held, whole["docs"]))
     best = found.groupBy("term").agg(F.max(F.struct("bits", "kind", "certainty")).alias("best"))
-    return best.select("term", "best.kind", "best.certainty")
+    return written(best.select("term", "best.kind", "best.certainty"))
 
 
 KEY = ["__id", "__hash"]
