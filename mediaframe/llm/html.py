@@ -5,15 +5,20 @@ share, length, sentence marks) is a cost for either label and becomes the capaci
 (content) or the sink (boilerplate). Neighbouring blocks and blocks of one parent are joined by edges that weigh
 less the further apart they are in the tree. The minimum cut is the cheapest labelling; the source side is the text.
 
+Only navigation, footers and unseen elements are certain. Every other name or kind of element has a finite cost that
+its blocks inherit, and none where it encloses the page: a form around landmarks, a named wrapper around ``main`` or an
+article with its headline, a partly named one around landmarks and most of the text. The costs are set by hand, not fitted: a strong one
+outweighs the best paragraph, an article and its neighbours together, a weak one the best paragraph alone.
+
 Defined cases: null or empty html has the empty text; markup that is cut off anywhere is read as far as it goes;
 scripts, styles and comments never reach a block; equal pages and repeated rows give equal texts, one row each; an empty
-table gives an empty result. A page of any size is read whole, one page at a time.
+table gives an empty result. A page of any size is read whole, one page at a time, however deep its elements lie.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 
 import pyarrow as pa
@@ -24,20 +29,24 @@ from .common import slices, texts_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)\b(?:[^>\"'/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+/>"
     r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|canvas)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-NAMES = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMES = re.compile(r"""(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 UNSEEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 PART = re.compile(r"[^a-z]+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head title select option datalist dialog".split())
-BOILERPLATE = frozenset("nav footer aside form menu button fieldset".split())
+CERTAIN = frozenset("nav footer".split())
+UNLIKELY = frozenset("aside form menu button fieldset".split())
+LANDMARKS = frozenset("main article nav header footer h1".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table tbody thead tfoot tr select article section div main aside nav footer header body html form blockquote".split())
@@ -45,54 +54,88 @@ HOLDS = frozenset("ul ol dl table tbody thead tfoot tr select article section di
 BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navigation navbar menu sidebar aside footer comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices alert share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription signup popup modal overlay widget login search pagination pager toolbar masthead skip complementary contentinfo disclaimer copyright".split())
 TOP_NAMES = frozenset("header banner topbar".split())
 GOOD_NAMES = frozenset("article content entry main post story body text prose".split())
+#: Words that stand for readers' comments even as a part of a name.
+READERS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+#: First and last parts of names that state a property of the page, not what the element is.
+BEFORE = frozenset("has no with without not hide category cat tag term supports".split())
+AFTER = frozenset("open opened closed enabled disabled on off none fixed".split())
 
 HARD = 1e6
+STRONG = 8.0
+WEAK = 5.0
 ADJACENT = 1.0
 SIBLING = 0.5
 
 
-class Block:
-    __slots__ = ("text", "path", "link", "score")
+class Element:
+    """An element: its place in the tree, what its tag and names say, what lies inside, and the evidence that results."""
+
+    __slots__ = ("tag", "parent", "depth", "hidden", "hard", "strong", "weak", "top", "good", "page", "main", "chars", "plus", "minus")
+
+    def __init__(self, tag: str, parent: Element | None, attrs: str = "") -> None:
+        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.hidden = tag in HIDDEN or bool(parent and parent.hidden)
+        self.hard = tag in CERTAIN or bool(attrs and UNSEEN.search(attrs)) or bool(parent and parent.hard)
+        self.strong, self.weak, self.top, self.good = False, False, 0.0, False
+        self.page, self.main, self.chars = False, False, 0
+        self.plus = self.minus = 0.0
+        if attrs and tag not in ("body", "html", "main"):
+            self.read(attrs)
+
+    def read(self, attrs: str) -> None:
+        """Words of the names: a whole name is strong, a part of one weak, a property of the page nothing."""
+        for kind, *values in NAMES.findall(attrs):
+            for name in HUMP.sub("-", "".join(values)).lower().split():
+                parts = [p for p in PART.split(name) if p]
+                if not parts or (len(parts) > 1 and (parts[0] in BEFORE or parts[-1] in AFTER)):
+                    continue
+                whole = len(parts) == 1 and kind.lower() != "aria-label"
+                bad = sum(p in BAD_NAMES for p in parts)
+                self.strong |= bad > 1 or (bad and whole) or any(p in READERS for p in parts)
+                self.weak |= bad > 0
+                if any(p in TOP_NAMES for p in parts):
+                    self.top = max(self.top, STRONG if whole else WEAK)
+                self.good |= any(p in GOOD_NAMES for p in parts)
+
+    def weigh(self, half: float) -> None:
+        """Evidence for and against the blocks inside, from the parent's and the element's own."""
+        above = self.parent
+        good, bad = above.plus, above.minus
+        cost = 0.0
+        if self.tag in UNLIKELY and not (self.page if self.tag == "form" else self.main):
+            cost = STRONG
+        if not self.main:
+            if self.strong:
+                cost = STRONG
+            elif self.weak and not (self.page and self.chars > half):
+                cost = max(cost, WEAK)
+            if good <= 0 and self.tag != "article":
+                cost = max(cost, STRONG if self.tag == "header" else self.top)
+        if cost:
+            good, bad = 0.0, min(bad + cost, 2 * STRONG)
+        if bad < STRONG:
+            if self.tag in ("article", "main"):
+                good = max(good, 4.0)
+            elif self.good and not cost and self.tag not in ("body", "html"):
+                good = max(good, 2.0)
+        self.plus, self.minus = good, bad
 
-    def __init__(self, text: str, path: tuple, link: int, score: float) -> None:
-        self.text, self.path, self.link, self.score = text, path, link, score
 
+class Block:
+    __slots__ = ("text", "place", "link", "score")
 
-class Element:
-    __slots__ = ("tag", "number", "lean", "hidden")
-
-    def __init__(self, tag: str, number: int, lean: float, hidden: bool) -> None:
-        self.tag, self.number, self.lean, self.hidden = tag, number, lean, hidden
-
-
-def leaning(tag: str, attrs: str, above: float) -> float:
-    """Evidence that an element hands down to the blocks inside it; boilerplate can't be left again."""
-    if above <= -HARD:
-        return above
-    names = set()
-    if attrs:
-        for found in NAMES.findall(attrs):
-            names.update(PART.split("".join(found).lower()))
-    if tag in BOILERPLATE or (names & BAD_NAMES and tag not in ("body", "html", "main")):
-        return -HARD
-    if (tag == "header" or names & TOP_NAMES) and above <= 0 and tag not in ("body", "html", "main", "article"):
-        return -HARD
-    if attrs and UNSEEN.search(attrs):
-        return -HARD
-    if tag in ("article", "main"):
-        return max(above, 4.0)
-    if names & GOOD_NAMES and tag not in ("body", "html"):
-        return max(above, 2.0)
-    return above
+    def __init__(self, text: str, place: Element, link: int, score: float) -> None:
+        self.text, self.place, self.link, self.score = text, place, link, score
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    root = Element("", 0, 0.0, False)
-    stack = [root]
+    root = Element("", None)
+    stack, every = [root], [root]
+    open_tags: Counter[str] = Counter()
     pieces: list[str] = []
-    link, links, count, at = 0, 0, 0, 0
+    link, links, at = 0, 0, 0
 
     def flush() -> None:
         nonlocal link
@@ -101,21 +144,30 @@ def blocks(page: str) -> list[Block]:
             if not top.hidden:
                 text = " ".join(unescape("".join(pieces)).split())
                 if text:
-                    block = [e for e in stack if e.tag not in INLINE]
-                    out.append(Block(text, tuple(e.number for e in block), link, top.lean + own_score(text, block[-1].tag, link)))
+                    out.append(Block(text, top, link, 0.0))
             pieces.clear()
         link = 0
 
     def close(tags, stop) -> None:
         """Close the innermost open element among ``tags``, if none of ``stop`` is open inside it."""
+        if not any(open_tags[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 flush()
+                open_tags.subtract(e.tag for e in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in stop:
                 return
 
+    def found(what: str, upto: list[Element]) -> None:
+        """Tell the open elements what lies in them; those above one that knows know already."""
+        for e in reversed(upto):
+            if getattr(e, what):
+                return
+            setattr(e, what, True)
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             pieces.append(page[at : m.start()])
@@ -148,12 +200,29 @@ def blocks(page: str) -> list[Block]:
             close(OWN_KIND[tag], HOLDS - OWN_KIND[tag])
         if tag in VOID:
             continue
-        count += 1
-        top = stack[-1]
-        stack.append(Element(tag, count, leaning(tag, m["attrs"], top.lean), top.hidden or tag in HIDDEN))
+        if tag in LANDMARKS:
+            found("page", stack)
+        if tag == "main":
+            found("main", stack)
+        elif tag == "h1" and open_tags["article"]:
+            inner = max(i for i, e in enumerate(stack) if e.tag == "article")
+            if not stack[inner].strong:
+                found("main", stack[:inner])
+        stack.append(Element(tag, stack[-1], m["attrs"]))
+        every.append(stack[-1])
+        open_tags[tag] += 1
     if at < len(page):
         pieces.append(page[at:])
     flush()
+    for block in out:
+        block.place.chars += 0 if block.place.hard else len(block.text)
+    for e in reversed(every[1:]):
+        e.parent.chars += e.chars
+    for e in every[1:]:
+        e.weigh(root.chars / 2)
+    for block in out:
+        e = block.place
+        block.score = -HARD if e.hard else e.plus - e.minus + own_score(block.text, e.tag, block.link)
     return out
 
 
@@ -235,14 +304,15 @@ class Network:
                     break
 
 
-def distance(a: tuple, b: tuple) -> int:
-    """Tree steps between two blocks' elements."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def distance(a: Element, b: Element) -> int:
+    """Tree steps between two elements."""
+    steps = 0
+    while a is not b:
+        if a.depth < b.depth:
+            a, b = b, a
+        a = a.parent
+        steps += 1
+    return steps
 
 
 def label(found: list[Block]) -> list[bool]:
@@ -251,19 +321,20 @@ def label(found: list[Block]) -> list[bool]:
     if not n:
         return []
     net = Network(n + 2)
-    parents: dict[tuple, int] = {}
+    parents: dict[int, int] = {}
     for i, block in enumerate(found):
         if block.score > 0:
             net.join(n, i, block.score, 0)
         elif block.score < 0:
             net.join(i, n + 1, -block.score, 0)
         if i:
-            weight = ADJACENT / (1 + distance(found[i - 1].path, block.path))
+            weight = ADJACENT / (1 + distance(found[i - 1].place, block.place))
             net.join(i - 1, i, weight, weight)
-        last = parents.get(block.path[:-1])
+        parent = id(block.place.parent)
+        last = parents.get(parent)
         if last is not None and last != i - 1:
             net.join(last, i, SIBLING, SIBLING)
-        parents[block.path[:-1]] = i
+        parents[parent] = i
     return net.source_side(n, n + 1)[:n]
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -59,6 +60,14 @@ PAGES = [
     ("<article><ul><li>one item<li>two items</ul><table><tr><td>cell<td>cell</table></article>", "one item\ntwo items\ncell\ncell"),
     ('<div id="site-header"><p>Our site of many words, with a slogan.</p></div><article class="post"><p>Body.</p><div hidden>Not seen.</div><div style="display: none">Nor this.</div></article>', "Body."),
     ("<article><p>Cut off in <b>the mid", "Cut off in the mid"),
+    ('<div class="layout has-sidebar"><nav>Menu</nav><article><h1>T</h1><p>Para.</p></article><div class="sidebar"><p>Aside text, as long as it may be.</p></div></div>', "T\nPara."),
+    ('<article class="post comments-open category-advertising tag-search"><h1>T</h1><p>Para.</p></article>', "T\nPara."),
+    ('<form id="page"><header><p>Site</p></header><article><h1>T</h1><p>Para.</p></article><div class="login"><label>Name of the user</label></div></form>', "T\nPara."),
+    ('<article><p>One<svg viewBox="0 0 1 1"/> two.</p><math/><p>Three.</p><svg><text>No</text></svg></article>', "One two.\nThree."),
+    ('<div class="sidebar-layout"><h1>T</h1><p>' + "A long paragraph of an article. " * 9 + "</p><nav>Menu</nav></div>", "T\n" + ("A long paragraph of an article. " * 9).strip()),
+    ('<article><p>Text of it.</p><div class="comment-list"><p>' + "I liked it very much indeed. " * 20 + "</p></div></article>", "Text of it."),
+    ('<article><p>Text of it.</p><div class="adSlot"><p>' + "Buy two of these, pay for one. " * 3 + '</p></div><p>More text.</p></article>', "Text of it.\nMore text."),
+    ('<div class="overlay"><main><p>Body.</p></main></div>', "Body."),
 ]
 
 
@@ -67,20 +76,29 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+def test_deep_pages_take_linear_time():
+    page = "<div>text of a block" * 6000
+    start = time.perf_counter()
+    assert len(html.blocks(page)) == 6000
+    assert time.perf_counter() - start < 1.0
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(1)
     for _ in range(200):
         n = int(rng.integers(1, 7))
-        found = [html.Block("x", (0, int(rng.integers(2)), i), 0, float(np.round(rng.normal(), 2))) for i in range(n)]
+        root = html.Element("", None)
+        parts = [html.Element("div", root), html.Element("div", root)]
+        found = [html.Block("x", html.Element("p", parts[rng.integers(2)]), 0, float(np.round(rng.normal(), 2))) for i in range(n)]
         edges = Counter()
         parents = {}
         for i, b in enumerate(found):
             if i:
-                edges[i - 1, i] += html.ADJACENT / (1 + html.distance(found[i - 1].path, b.path))
-            last = parents.get(b.path[:-1])
+                edges[i - 1, i] += html.ADJACENT / (1 + html.distance(found[i - 1].place, b.place))
+            last = parents.get(b.place.parent)
             if last is not None and last != i - 1:
                 edges[last, i] += html.SIBLING
-            parents[b.path[:-1]] = i
+            parents[b.place.parent] = i
 
         def cost(good):
             own = sum(max(b.score, 0) if not g else max(-b.score, 0) for b, g in zip(found, good))
