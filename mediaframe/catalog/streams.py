@@ -56,7 +56,7 @@ def visibility_sessions_stream(spark, sf):
 
 @query("ordered_frames_stream", "select user_id as asset_id, epoch_us(ts) as pts_us, value from events")
 def ordered_frames_stream(spark, sf):
-    return st.drain(st.ordered_frames_stream(_events(spark, sf)))
+    return st.drain(st.ordered_frames_stream(_events(spark, sf), ts="ts"))
 
 
 @query("byte_track_stream")
@@ -65,8 +65,9 @@ def byte_track_stream(spark, sf):
     x, y = (F.col("l_partkey") * 37 % 1000).cast("double"), (F.col("l_suppkey") * 91 % 500).cast("double")
     d = li.select(F.floor(F.col("l_orderkey") / 1000).alias("asset_id"), F.floor(F.col("l_orderkey") / 100).alias("shot"), F.col("l_orderkey").alias("frame"), F.xxhash64("l_partkey", "l_suppkey", "l_linenumber").alias("det"), F.col("l_returnflag").alias("label"),
                   F.round(F.col("l_discount") * 8 + 0.2, 2).alias("score"), x.alias("x1"), y.alias("y1"), F.least(F.lit(1280.0), x + 40 + F.col("l_quantity") * 8).alias("x2"), F.least(F.lit(720.0), y + 60 + F.col("l_quantity") * 6).alias("y2"))
-    # the orders tell which shots there are; every one of them ends
-    o, none = _stream(spark, sf, "orders"), F.lit(None).cast("double")
+    # the orders tell which shots there are; the last order of each ends it
+    last = fx.table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 100).alias("_shot")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    o, none = _stream(spark, sf, "orders").join(last, "o_orderkey", "left_semi"), F.lit(None).cast("double")
     ends = o.select(F.floor(F.col("o_orderkey") / 1000).alias("asset_id"), F.floor(F.col("o_orderkey") / 100).alias("shot"), F.col("o_orderkey").alias("frame"), F.lit(None).cast("bigint").alias("det"),
                     F.lit(None).cast("string").alias("label"), *[none.alias(c) for c in ("score", "x1", "y1", "x2", "y2")])
     d = d.withColumn("score", F.col("score").cast("double")).unionByName(ends)
@@ -77,7 +78,7 @@ def byte_track_stream(spark, sf):
  e as (select user_id as asset_id, epoch_us(ts) as u from events), j as (select t.asset_id, k, t, a.u as a_us, z.u as z from t asof join e a on a.asset_id = t.asset_id and t.p > a.u asof join e z on z.asset_id = t.asset_id and t.p <= z.u)
  select asset_id, k, case when abs(t - a_us) <= 500 then 'copy' else 'interp' end as kind, a_us, case when abs(t - a_us) > 500 then z end as b_us, round(case when abs(t - a_us) <= 500 then 0 else (t - a_us) / (z - a_us) end, 7)::double as alpha from j""")
 def resample_stream(spark, sf):
-    return st.drain(st.resample_stream(_events(spark, sf), 3_600_000_000)).withColumn("alpha", F.round("alpha", 7))
+    return st.drain(st.resample_stream(_events(spark, sf), 3_600_000_000, ts="ts")).withColumn("alpha", F.round("alpha", 7))
 
 
 @query("enrich_stream", "select event_id, c_name as name from events left join customer on c_custkey = user_id")

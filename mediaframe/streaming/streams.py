@@ -1,7 +1,8 @@
 """Streams of job events, samples, scores, frames and detections.
 
 Every function takes and returns a streaming DataFrame (a batch one works too where no custom state is
-needed). State is per job or asset, per live track of a shot that has not ended, or bounded by the watermark.
+needed). State is per job or asset, per live track of a shot that has not ended, or bounded by the watermark; the custom
+states end by event time where the stream has one.
 """
 
 from __future__ import annotations
@@ -75,38 +76,71 @@ def enrich_identity(batch: DataFrame, bank: DataFrame, threshold: float, margin:
     return identify(owner_scores(batch, bank), threshold, margin)
 
 
-def ordered_frames_stream(frames: DataFrame) -> DataFrame:
-    """Drop frames whose time does not pass the last one seen of their asset. frames: asset_id, pts_us, value."""
+def _timed(rows: DataFrame, cols: list[str], ts: str | None, delay: str) -> tuple[DataFrame, str]:
+    """``cols`` and ``_ms``, the event time in milliseconds, with the timeout that the state may use."""
+    if ts is None:
+        return rows.select(*cols, F.lit(None).cast("bigint").alias("_ms")), GroupStateTimeout.NoTimeout
+    at = F.col(ts).cast("timestamp").alias("_ts")
+    # the watermark is set on the column that reaches the grouping
+    return rows.select(*cols, at, F.unix_millis(at).alias("_ms")).withWatermark("_ts", delay), GroupStateTimeout.EventTimeTimeout
+
+
+def _expire_after(state: GroupState, idle_ms: int, timed: bool, rows: pd.DataFrame, before: int | None) -> int | None:
+    """Set the end of a state ``idle_ms`` after its newest row; returns that row's time."""
+    if not timed:
+        return None
+    newest = [int(v) for v in (rows["_ms"].max(), before) if not pd.isna(v)]
+    latest = max(newest) if newest else state.getCurrentWatermarkMs()
+    state.setTimeoutTimestamp(max(latest + idle_ms, state.getCurrentWatermarkMs() + 1))
+    return latest
+
+
+def ordered_frames_stream(frames: DataFrame, ts: str | None = None, delay: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
+    """Drop frames whose time does not pass the last one seen of their asset. frames: asset_id, pts_us, value.
+
+    With an event-time column ``ts`` an asset is forgotten once the watermark is ``idle_ms`` past its newest frame, and
+    starts anew when it comes back; without one, assets are remembered."""
+    rows, timeout = _timed(frames, ["asset_id", "pts_us", "value"], ts, delay)
+    timed = ts is not None
+
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        last = state.get[0] if state.exists else -(1 << 62)
-        out = []
-        for pdf in pd.concat(list(batches)).sort_values("pts_us", kind="stable").itertuples():
-            if pdf.pts_us > last:
-                out.append((pdf.asset_id, pdf.pts_us, pdf.value))
-                last = pdf.pts_us
-        state.update((int(last),))
-        yield pd.DataFrame(out, columns=["asset_id", "pts_us", "value"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, latest = state.get if state.exists else (-(1 << 62), None)
+        got = pd.concat(list(batches)).sort_values("pts_us", kind="stable")
+        before = got["pts_us"].cummax().shift(fill_value=last).clip(lower=last)
+        out = got[got["pts_us"] > before]
+        latest = _expire_after(state, idle_ms, timed, got, latest)
+        state.update((int(max(last, got["pts_us"].max())), latest))
+        yield out[["asset_id", "pts_us", "value"]]
 
-    return frames.select("asset_id", "pts_us", "value").groupBy("asset_id").applyInPandasWithState(step, "asset_id bigint, pts_us bigint, value double", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("asset_id").applyInPandasWithState(step, "asset_id bigint, pts_us bigint, value double", "last bigint, latest bigint", "append", timeout)
 
 
-def byte_track_stream(dets: DataFrame, options: TrackerOptions | None = None) -> DataFrame:
+def byte_track_stream(dets: DataFrame, options: TrackerOptions | None = None, ts: str | None = None, delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
     """The tracker with its state kept per (asset, shot).
 
     The newest frame waits in the state until a later one arrives, so a frame may come in parts over several
     micro-batches; rows of frames older than one already tracked come too late and are dropped. A row without ``det`` ends
-    its shot: what waits is tracked and the state is gone."""
+    its shot: what waits is tracked and the state is gone. With an event-time column ``ts`` the same happens without such a
+    row once the watermark is ``idle_ms`` past the shot's newest row; without one, a shot needs its end row."""
     o = options or TrackerOptions()
     cols = ["asset_id", "shot", "frame", "det", "label", "score", "x1", "y1", "x2", "y2"]
+    timed = ts is not None
+    source, timeout = _timed(dets, cols, ts, delay)
+    names = [f.strip().split(" ")[0] for f in TRACK_SCHEMA.split(",")]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        tracker, last, held = Tracker(o), None, None
+        tracker, last, held, latest = Tracker(o), None, None, None
         if state.exists:
-            saved, last, held = pickle.loads(state.get[0])
+            saved, last, held, latest = pickle.loads(state.get[0])
             tracker.load(saved)
-        rows = pd.concat(([held] if held is not None else []) + list(batches))
+        new = [] if state.hasTimedOut else [b[[*cols, "_ms"]] for b in batches]
+        rows = pd.concat(([held] if held is not None else []) + new)
         ended = rows["det"].isna()
-        rows, over = rows[~ended].sort_values(["frame", "det"], kind="stable"), bool(ended.any())
+        newest_rows = rows
+        rows, over = rows[~ended].sort_values(["frame", "det"], kind="stable"), state.hasTimedOut or bool(ended.any())
         newest = rows["frame"].max() if len(rows) else None
         out = []
         for frame, part in rows.groupby("frame", sort=True):
@@ -120,19 +154,30 @@ def byte_track_stream(dets: DataFrame, options: TrackerOptions | None = None) ->
             if state.exists:
                 state.remove()
         else:
-            state.update((pickle.dumps((tracker.dump(), last, rows[rows["frame"] == newest])),))
-        yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in TRACK_SCHEMA.split(",")])
+            latest = _expire_after(state, idle_ms, timed, newest_rows, latest)
+            state.update((pickle.dumps((tracker.dump(), last, rows[rows["frame"] == newest], latest)),))
+        yield pd.DataFrame(out, columns=names)
 
-    return dets.select(*cols).groupBy("asset_id", "shot").applyInPandasWithState(step, TRACK_SCHEMA, "tracker binary", "append", GroupStateTimeout.NoTimeout)
+    return source.groupBy("asset_id", "shot").applyInPandasWithState(step, TRACK_SCHEMA, "tracker binary", "append", timeout)
 
 
-def resample_stream(frames: DataFrame, period_us: int, near_us: int = 500) -> DataFrame:
+def resample_stream(frames: DataFrame, period_us: int, near_us: int = 500, ts: str | None = None, delay: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
     """Output frames every ``period_us`` from each asset's first frame: copy or interpolate between the two
-    source frames around it. The state is the last source frame and the next output. frames: asset_id, pts_us."""
+    source frames around it. The state is the last source frame and the next output. frames: asset_id, pts_us.
+
+    With an event-time column ``ts`` the state ends once the watermark is ``idle_ms`` past the asset's newest frame, and its
+    grid starts anew when it comes back."""
+    source, timeout = _timed(frames, ["asset_id", "pts_us"], ts, delay)
+    timed = ts is not None
+
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        start, last, k = state.get if state.exists else (None, None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, last, k, latest = state.get if state.exists else (None, None, 0, None)
         out = []
-        for t in np.sort(pd.concat(list(batches))["pts_us"].to_numpy()):
+        got = pd.concat(list(batches))
+        for t in np.sort(got["pts_us"].to_numpy()):
             t = int(t)
             if start is None:
                 start = last = t
@@ -146,11 +191,12 @@ def resample_stream(frames: DataFrame, period_us: int, near_us: int = 500) -> Da
                 k += 1
             last = t
         if start is not None:
-            state.update((start, last, k))
+            latest = _expire_after(state, idle_ms, timed, got, latest)
+            state.update((start, last, k, latest))
         yield pd.DataFrame(out, columns=["asset_id", "k", "kind", "a_us", "b_us", "alpha"]).astype({"b_us": "Int64"})
 
-    return frames.select("asset_id", "pts_us").groupBy("asset_id").applyInPandasWithState(
-        step, "asset_id bigint, k bigint, kind string, a_us bigint, b_us bigint, alpha double", "start bigint, last bigint, k bigint", "append", GroupStateTimeout.NoTimeout)
+    return source.groupBy("asset_id").applyInPandasWithState(
+        step, "asset_id bigint, k bigint, kind string, a_us bigint, b_us bigint, alpha double", "start bigint, last bigint, k bigint, latest bigint", "append", timeout)
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:

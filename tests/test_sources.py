@@ -120,3 +120,52 @@ def test_tracker_waits_for_the_rest_of_a_frame(spark, tmp_path):
     got = sorted(map(tuple, drain(byte_track_stream(stream, options)).collect()))
     want = sorted(map(tuple, tracking.byte_track(spark.createDataFrame(rows, schema), options).select(*tracking.TRACK_SCHEMA.replace(",", " ").split()[::2]).collect()))
     assert got == want and len({r[2] for r in got}) == 12
+
+
+def _in_turns(spark, tmp_path, parts, schema):
+    """A stream that reads one part in a micro-batch."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
+
+
+def _left_in_state(spark, stream, tmp_path):
+    """Rows of a stream, and how many keys its state holds at the end."""
+    query = stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).outputMode("append").format("parquet").start(str(tmp_path / "out"))
+    query.awaitTermination()
+    held = spark.read.format("statestore").load(str(tmp_path / "state")).count()
+    return spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect(), held
+
+
+def _at(minute):
+    import datetime
+
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+
+
+def test_tracker_ends_a_silent_shot(spark, tmp_path):
+    from mediaframe.operators import tracking
+    from mediaframe.streaming.streams import byte_track_stream
+
+    schema = "asset_id bigint, shot bigint, frame bigint, det bigint, label string, score double, x1 double, y1 double, x2 double, y2 double, ts timestamp"
+    rows = [(1, 7, f, 0, "a", 0.9, 100.0 + 5 * f, 100.0, 200.0 + 5 * f, 300.0, _at(f)) for f in range(8)]
+    # another shot goes on long after, and ends with its own row
+    later = [(1, 8, 20, 0, "a", 0.9, 100.0, 100.0, 200.0, 300.0, _at(600)), (1, 8, 21, None, None, None, None, None, None, None, _at(600))]
+    stream = _in_turns(spark, tmp_path, (rows[:5], rows[5:], later), schema)
+    got, held = _left_in_state(spark, byte_track_stream(stream, tracking.TrackerOptions(), ts="ts", delay="10 minutes", idle_ms=3_600_000), tmp_path)
+    want = tracking.byte_track(spark.createDataFrame(rows + later[:1], schema), tracking.TrackerOptions()).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.frame for r in got if r.shot == 7} == set(range(8))
+    assert held == 0
+
+
+def test_frame_streams_forget_silent_assets(spark, tmp_path):
+    from mediaframe.streaming.streams import ordered_frames_stream, resample_stream
+
+    schema = "asset_id bigint, pts_us bigint, value double, ts timestamp"
+    parts = ([(1, 0, 0.0, _at(0)), (1, 10, 1.0, _at(1)), (1, 5, 2.0, _at(1))], [(1, 10, 3.0, _at(2)), (1, 20, 4.0, _at(2))], [(2, 0, 5.0, _at(600))], [(2, 30, 6.0, _at(601))])
+    got, held = _left_in_state(spark, ordered_frames_stream(_in_turns(spark, tmp_path / "a", parts, schema), "ts", "10 minutes", 3_600_000), tmp_path / "a")
+    assert sorted((r.asset_id, r.pts_us, r.value) for r in got) == [(1, 0, 0.0), (1, 5, 2.0), (1, 10, 1.0), (1, 20, 4.0), (2, 0, 5.0), (2, 30, 6.0)]
+    assert held == 1
+    got, held = _left_in_state(spark, resample_stream(_in_turns(spark, tmp_path / "b", parts, schema), 10, 1, "ts", "10 minutes", 3_600_000), tmp_path / "b")
+    assert sorted((r.asset_id, r.k, r.kind) for r in got) == [(1, 0, "copy"), (1, 1, "copy"), (2, 0, "copy"), (2, 1, "interp"), (2, 2, "interp")]
+    assert held == 1
