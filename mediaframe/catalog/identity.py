@@ -31,6 +31,29 @@ def identify(spark, sf):
     return out.select("vec_id", "best", F.round("score", 7).alias("score"), F.round("margin", 7).alias("margin"), "owner")
 
 
+HEADS = f"""with b as ({fx.BANK_SQL}), q as ({fx.QUERIES_SQL}),
+ p as (select vec_id, false as head, emb from q union all select vec_id, true, list_concat(emb[9:], emb[:8]) from q where vec_id % 3 = 0),
+ r as (select false as head, owner, vec_id, emb from b union all select true, owner, vec_id, list_concat(emb[5:], emb[:4]) from b where vec_id % 10 = 0),
+ s as (select p.vec_id, p.head, r.owner, r.vec_id as crop_group, list_cosine_similarity(p.emb, r.emb) as sim from p join r on p.head = r.head),
+ k as (select *, row_number() over (partition by vec_id, head, owner order by sim desc, crop_group) as rank from s),
+ h as (select vec_id, head, owner, avg(sim) as score from k where rank <= 3 group by 1, 2, 3), sc as (select vec_id, owner, max(score) as score from h group by 1, 2),
+ o as (select *, row_number() over (partition by vec_id order by score desc, owner) as rn from sc),
+ idd as (select vec_id, max(case when rn = 1 then owner end) as best, max(case when rn = 1 then score end) as score,
+   max(case when rn = 1 then score end) - coalesce(max(case when rn = 2 then score end), 0) as margin from o group by 1)
+"""
+
+
+@query("identify_heads", HEADS + """select vec_id, best, round(score, 7) + 0.0 as score, round(margin, 7) + 0.0 as margin,
+  case when score >= 0.4 and margin >= 0.05 then best end as owner from idd""")
+def identify_heads(spark, sf):
+    turned = lambda n: F.concat(F.slice("embedding", n + 1, 100_000), F.slice("embedding", 1, n))
+    probes = fx.probes(spark, sf).withColumn("head", F.when(F.col("vec_id") % 3 == 0, turned(8)))
+    bank = fx.bank(spark, sf).withColumn("head", F.lit(False))
+    heads = bank.filter(F.col("ref_id") % 10 == 0).withColumns({"embedding": turned(4), "head": F.lit(True)})
+    out = op.identify(op.owner_scores_with_heads(probes, bank.unionByName(heads)), 0.4, 0.05)
+    return out.select("vec_id", "best", F.round("score", 7).alias("score"), F.round("margin", 7).alias("margin"), "owner")
+
+
 @query("zero_shot", SIMS + "select vec_id, owner, round(prob, 7) + 0.0 as prob from z")
 def zero_shot(spark, sf):
     out = op.zero_shot(fx.probes(spark, sf), fx.bank(spark, sf))

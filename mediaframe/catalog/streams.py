@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mediaframe import fixtures as fx
 from mediaframe import udf
 from mediaframe.catalog import query
+from mediaframe.catalog.identity import SIMS
 from mediaframe.operators import tracking
 from mediaframe.operators.shots import sliding_windows
 from mediaframe.sources import documents as docs
@@ -87,6 +88,14 @@ def enrich_stream(spark, sf):
     return st.drain(st.enrich_stream(_events(spark, sf), c, "asset_id").select("event_id", "name"))
 
 
+@query("identify_stream", SIMS + """select vec_id, best, round(score, 7) + 0.0 as score, round(margin, 7) + 0.0 as margin,
+  case when score >= 0.4 and margin >= 0.05 then best end as owner from idd""")
+def identify_stream(spark, sf):
+    probes = _stream(spark, sf, "embeddings").filter(F.col("vec_id") % 5 != 0).select("vec_id", "embedding")
+    out = st.identify_stream(probes, lambda: fx.bank(spark, sf), 0.4, 0.05)
+    return out.select("vec_id", "best", F.round("score", 7).alias("score"), F.round("margin", 7).alias("margin"), "owner")
+
+
 @query("with_detector", f"with f as ({fx.FRAMES_SQL}), d as (select asset_id, frame, value, unnest(range(1, 1 + floor(value / 40)::bigint)) as det from f) select asset_id, frame, det, round(0.2 + 0.15 * det, 4)::double as score, 0.2 + 0.15 * det >= 0.45 as used from d where 0.2 + 0.15 * det >= 0.3")
 def with_detector(spark, sf):
     stub = lambda b: [[("box", 0.2 + 0.15 * (i + 1), 0.0, 0.0, 10.0 * i, 10.0) for i in range(int(v // 40))] for v in b["value"]]

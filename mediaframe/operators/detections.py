@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaframe.functions import geometry as g
-from mediaframe.plans.sequential import Processor, greedy_pairs, sequential
+from mediaframe.plans.priority import keep_best
+from mediaframe.plans.sequential import greedy_pairs
 from mediaframe.plans.tiles import tiled_join, tiled_self_join
 
 # fixed values
@@ -91,58 +92,18 @@ def escalation_reason(frames: Column, detections: Column, ambiguous: Column, bor
 # --------------------------------------------------------------------------- greedy per-frame operators
 
 
-class _KeepBoxes(Processor):
-    """Visits boxes in order and keeps one unless ``blocked`` by the kept ones. Only kept boxes are state."""
-
-    def __init__(self, key: str, blocked, ids: str):
-        self.key_name, self.blocked, self.ids = key, blocked, ids
-
-    def start(self, key):
-        self.key = key[0]
-        self.kept, self.labels = np.empty((0, 4)), np.empty(0, dtype=object)
-
-    def feed(self, cols):
-        out = []
-        boxes = np.stack([cols["x1"], cols["y1"], cols["x2"], cols["y2"]], axis=1)
-        for i, b in enumerate(boxes):
-            if len(self.kept) and self.blocked(self.kept, b, self.labels, cols["label"][i]):
-                continue
-            self.kept = np.vstack([self.kept, b])
-            self.labels = np.append(self.labels, cols["label"][i])
-            out.append(cols[self.ids][i])
-        return {self.key_name: [self.key] * len(out), self.ids: out} if out else None
-
-
-def _iou_to(kept: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w = np.minimum(kept[:, 2], b[2]) - np.maximum(kept[:, 0], b[0])
-    h = np.minimum(kept[:, 3], b[3]) - np.maximum(kept[:, 1], b[1])
-    inter = np.maximum(w, 0) * np.maximum(h, 0)
-    size = lambda v: np.maximum(v[..., 2] - v[..., 0], 0) * np.maximum(v[..., 3] - v[..., 1], 0)
-    union = size(kept) + size(b) - inter
-    return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
-
-
 def nms(dets: DataFrame, iou: float = 0.7, class_agnostic: bool = False) -> DataFrame:
     """Greedy suppression, best score first; ties keep detection order. Returns the kept (frame_id, det)."""
-
-    def blocked(kept, b, labels, label):
-        hit = _iou_to(kept, b) > iou
-        return bool((hit if class_agnostic else hit & (labels == label)).any())
-
-    rows = dets.select("frame_id", "det", "label", (-F.col("score")).alias("rank"), "x1", "y1", "x2", "y2")
-    return sequential(rows, ["frame_id"], ["rank", "det"], "frame_id bigint, det bigint", lambda: _KeepBoxes("frame_id", blocked, "det"))
+    blocks = g.iou(g.box("a_"), g.box("b_")) > iou
+    if not class_agnostic:
+        blocks = blocks & F.col("a_label").eqNullSafe(F.col("b_label"))
+    return keep_best(dets.select("frame_id", "det", "label", (-F.col("score")).alias("rank"), "x1", "y1", "x2", "y2"), ["frame_id"], "det", blocks)
 
 
 def nested_filter(dets: DataFrame, contain: float = 0.8) -> DataFrame:
     """Largest box first, drop boxes mostly inside a kept one. Returns the kept (frame_id, det)."""
-
-    def blocked(kept, b, labels, label):
-        w = np.maximum(np.minimum(kept[:, 2], b[2]) - np.maximum(kept[:, 0], b[0]), 0)
-        h = np.maximum(np.minimum(kept[:, 3], b[3]) - np.maximum(kept[:, 1], b[1]), 0)
-        return bool((w * h / max(1e-6, (b[2] - b[0]) * (b[3] - b[1])) > contain).any())
-
-    rows = dets.select("frame_id", "det", "label", (-g.raw_area(g.box())).alias("rank"), "x1", "y1", "x2", "y2")
-    return sequential(rows, ["frame_id"], ["rank", "det"], "frame_id bigint, det bigint", lambda: _KeepBoxes("frame_id", blocked, "det"))
+    rows = dets.select("frame_id", "det", (-g.raw_area(g.box())).alias("rank"), "x1", "y1", "x2", "y2")
+    return keep_best(rows, ["frame_id"], "det", g.containment(g.box("b_"), g.box("a_")) > contain)
 
 
 def iou_match(dets: DataFrame, tracks: DataFrame, w: float, h: float, min_iou: float = 0.5) -> DataFrame:

@@ -64,6 +64,31 @@ def owner_scores(probes: DataFrame, bank: DataFrame) -> DataFrame:
     return top_k_similar(probes, bank).groupBy("vec_id", "owner").agg(F.avg("sim").alias("score"))
 
 
+def owner_scores_with_heads(probes: DataFrame, bank: DataFrame) -> DataFrame:
+    """(vec_id, owner, score): the better of the full box against full-box references and the head against head references,
+    from one pass over the bank. probes: vec_id, embedding, head (null: none); bank: ..., head (boolean)."""
+    part = lambda head, column: F.struct(F.lit(head).alias("head"), F.col(column).alias("embedding"))
+    both = F.filter(F.array(part(False, "embedding"), part(True, "head")), lambda p: p["embedding"].isNotNull())
+    vectors = probes.select("vec_id", F.explode(both).alias("_p")).select("vec_id", "_p.head", "_p.embedding")
+
+    def reduce(p, b, sims):
+        head, of_head = p["head"].to_numpy(dtype=bool), b["head"].to_numpy(dtype=bool)
+        out = []
+        for kind in (False, True):
+            rows, refs = np.flatnonzero(head == kind), np.flatnonzero(of_head == kind)
+            if len(rows) and len(refs):
+                best = _best_per_owner(sims[np.ix_(rows, refs)], b["owner"].to_numpy()[refs], b["crop_group"].to_numpy()[refs], p["vec_id"].to_numpy()[rows], TOP)
+                out.append(best.assign(head=kind))
+        columns = ["vec_id", "head", "owner", "crop_group", "sim"]
+        return pd.concat(out, ignore_index=True)[columns] if out else pd.DataFrame({c: [] for c in columns})
+
+    parts = tiled_products(vectors, bank, "vec_id", "ref_id", "vec_id bigint, head boolean, owner int, crop_group bigint, sim double", reduce)
+    merged = parts.groupBy("vec_id", "head", "owner", "crop_group").agg(F.max("sim").alias("sim"))
+    w = Window.partitionBy("vec_id", "head", "owner").orderBy(F.col("sim").desc(), F.col("crop_group"))
+    top = merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP)
+    return top.groupBy("vec_id", "owner", "head").agg(F.avg("sim").alias("score")).groupBy("vec_id", "owner").agg(F.max("score").alias("score"))
+
+
 def with_heads(body: DataFrame, head: DataFrame) -> DataFrame:
     """Per owner the better of the full-box and the head score."""
     return body.unionByName(head).groupBy("vec_id", "owner").agg(F.max("score").alias("score"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,6 +76,21 @@ def enrich_identity(batch: DataFrame, bank: DataFrame, threshold: float, margin:
     return identify(owner_scores(batch, bank), threshold, margin)
 
 
+def identify_stream(probes: DataFrame, bank: Callable[[], DataFrame], threshold: float, margin: float) -> DataFrame:
+    """Identity of streamed detections, processed to the end, as a table. probes: vec_id, embedding, ...
+
+    ``bank`` is called once per micro-batch, so a batch meets one version of the references and the next one may meet a newer
+    one. A batch writes a folder of its own and replaces it when it runs again."""
+    spark = probes.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def one(batch: DataFrame, number: int) -> None:
+        enrich_identity(batch, bank(), threshold, margin).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    probes.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
+    return spark.read.schema("vec_id bigint, best int, score double, margin double, owner int").parquet(f"{base}/rows")
+
+
 def _timed(rows: DataFrame, cols: list[str], ts: str | None, delay: str) -> tuple[DataFrame, str]:
     """``cols`` and ``_ms``, the event time in milliseconds, with the timeout that the state may use."""
     if ts is None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from mediaframe.operators.detections import merge_passes
+from mediaframe.session import cut_lineage
 
 DET_SCHEMA = "asset_id bigint, frame bigint, det bigint, label string, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -51,14 +52,63 @@ def with_frame_scores(windows: DataFrame, score: Callable[[np.ndarray], np.ndarr
     return windows.groupBy("asset_id", "window_id").applyInPandas(run, "asset_id bigint, frame bigint, score double")
 
 
-def cascade(shots: DataFrame, cheap: Callable[[DataFrame], DataFrame], strong: Callable[[DataFrame], DataFrame], stats: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def guarded(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``model(batch)`` over rows with a shot_id, with a column ``error``: a shot for which the model raises gives one row per
+    batch that holds its reason and nothing else. A batch that raises is tried again shot by shot, so that the others keep
+    their rows. ``schema`` starts with shot_id."""
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
+    def attempt(part: pd.DataFrame) -> pd.DataFrame:
+        return model(part)[names].assign(error=None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            try:
+                yield attempt(pdf)
+                continue
+            except Exception:
+                pass  # found again below, by shot
+            for shot, part in pdf.groupby("shot_id", sort=False):
+                try:
+                    yield attempt(part)
+                except Exception as reason:
+                    yield pd.DataFrame({n: [shot if n == "shot_id" else None] for n in names} | {"error": [f"{type(reason).__name__}: {reason}"]})
+
+    return rows.mapInPandas(run, f"{schema}, error string")
+
+
+def cascade(shots: DataFrame, cheap: Callable[[DataFrame], DataFrame], strong: Callable[[DataFrame], DataFrame], stats: Callable[[DataFrame, DataFrame], DataFrame],
+            sparse: Callable[[DataFrame, DataFrame], DataFrame] | None = None, fine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The findings of ``cascade_report``. Findings: shot_id, character, ..."""
+    return cascade_report(shots, cheap, strong, stats, sparse, fine)[0]
+
+
+def cascade_report(shots: DataFrame, cheap: Callable[[DataFrame], DataFrame], strong: Callable[[DataFrame], DataFrame], stats: Callable[[DataFrame, DataFrame], DataFrame],
+                   sparse: Callable[[DataFrame, DataFrame], DataFrame] | None = None, fine: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Cheap findings for every shot, strong ones only where ``stats`` (shot_id, reason) gives a reason.
 
-    Shots without a strong result keep the cheap one, so a strong model that returns nothing for a failed shot
-    loses nothing; named findings only the cheap pass has are kept. Findings: shot_id, character, ..."""
-    first = cheap(shots)
-    reasons = stats(shots, first).filter(F.col("reason").isNotNull()).select("shot_id", "reason")
-    second = strong(shots.join(reasons, "shot_id", "left_semi"))
+    Shots that ``sparse`` (shot_id) names run once more through ``fine`` (say, at full resolution), which replaces the cheap
+    findings where it has more; the reasons are judged after that. A shot without a strong result keeps the one it
+    has, and so does one whose strong model failed (rows with ``error``, see ``guarded``). Named findings that only the
+    first pass has are kept. Every model runs once: its findings are written down.
+
+    Returns the findings with ``stage`` (cheap, fine, strong), and per shot with a reason (shot_id, reason, stage, warning)."""
+    first = cut_lineage(cheap(shots).withColumn("stage", F.lit("cheap")))
+    if sparse is not None and fine is not None:
+        again = fine(shots.join(sparse(shots, first.drop("stage")), "shot_id", "left_semi"))
+        again = cut_lineage(again.withColumn("stage", F.lit("fine")))
+        n = lambda df, name: df.groupBy("shot_id").agg(F.count("*").alias(name))
+        more = n(again, "_n").join(n(first, "_m"), "shot_id", "left").filter(F.col("_n") > F.coalesce("_m", F.lit(0))).select("shot_id")
+        first = cut_lineage(first.join(more, "shot_id", "left_anti").unionByName(again.join(more, "shot_id", "left_semi")))
+    reasons = stats(shots, first.drop("stage")).filter(F.col("reason").isNotNull()).select("shot_id", "reason")
+    second = cut_lineage(strong(shots.join(reasons, "shot_id", "left_semi")))
+    failed = None
+    if "error" in second.columns:
+        failed = second.filter(F.col("error").isNotNull()).groupBy("shot_id").agg(F.min("error").alias("warning"))
+        second = second.join(failed, "shot_id", "left_anti").drop("error")
     done = second.select("shot_id").distinct()
-    kept = first.join(done, "shot_id", "left_anti")
-    return kept.withColumn("stage", F.lit("cheap")).unionByName(merge_passes(first.join(done, "shot_id", "left_semi"), second).withColumn("stage", F.lit("strong")))
+    merged = merge_passes(first.drop("stage").join(done, "shot_id", "left_semi"), second).withColumn("stage", F.lit("strong"))
+    report = reasons.join(done.withColumn("_done", F.lit(True)), "shot_id", "left").join(first.groupBy("shot_id").agg(F.max("stage").alias("_first")), "shot_id", "left")
+    report = report.join(failed, "shot_id", "left") if failed is not None else report.withColumn("warning", F.lit(None).cast("string"))
+    report = report.select("shot_id", "reason", F.when(F.col("_done"), "strong").otherwise(F.coalesce("_first", F.lit("cheap"))).alias("stage"), "warning")
+    return first.join(done, "shot_id", "left_anti").unionByName(merged), report
