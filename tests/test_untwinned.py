@@ -8,11 +8,11 @@ from mediaframe import catalog
 from mediaframe.functions import presets
 from mediaframe.operators import camera, color, speed, tracking
 
-#: Queries without SQL and the test that compares their rows; grade_hsl so far only runs.
+#: Queries without SQL and the test that compares their rows.
 TESTED = {
     "onset_envelope": "test_golden", "track_beats": "test_golden", "byte_track": "test_golden", "byte_track_stream": "test_sources", "assign": "test_untwinned", "follow_pairs": "test_golden",
     "choose_scheme": "test_untwinned", "solve_crops": "test_crops", "clamp_crops": "test_crops", "reframe_from_tracks": "test_crops", "reframe_from_findings": "test_crops", "assign_lineup": "test_crops",
-    "split_by_side": "test_untwinned", "appearance_ema": "test_untwinned", "patch_descriptor": "test_untwinned", "speed_ramp_times": "test_untwinned", "grade_hsl": "runs only", "split_ramped": "test_ramps", "audio_schedule_ramped": "test_ramps",
+    "split_by_side": "test_untwinned", "appearance_ema": "test_untwinned", "patch_descriptor": "test_untwinned", "speed_ramp_times": "test_untwinned", "grade_hsl": "test_grade", "split_ramped": "test_ramps", "audio_schedule_ramped": "test_ramps",
 }
 
 
